@@ -44,7 +44,7 @@ def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = op6_pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
-    count = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in op6_pii.BASE]
+    count = [F.size(F.expr(f"filter(pii, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in op6_pii.BASE]
     base = F.filter("pii", lambda s: s["kind"].isin(*op6_pii.BASE))
     return x.select("doc_id", *count, F.sha2(op6_pii.span_text(base).cast("binary"), 256).alias("base_sha256"), op6_pii.span_text(F.col("pii")).alias("spans"))
 
@@ -74,9 +74,9 @@ QUERIES = {f.__name__: f for f in (op1_voronoi_knn, op2_token_orc, op3_source_mi
 ORACLE = {
     "op1_voronoi_knn": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
