@@ -14,7 +14,8 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     Every round joins labels to edges, takes each node's smallest neighbouring label and then the
     label of that label. Nothing is gathered on the driver but one count a round.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    flip = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    both = cut(edges.where("a <> b").select(flip).select("e.a", "e.b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
@@ -22,6 +23,6 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         jump = step.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label", "left").select("node", "old", F.least("label", "far").alias("label"))
         step = cut(jump)
         labels = step.select("node", "label")
-        if not step.where("label <> old").limit(1).count():
+        if not step.where("label <> old").head(1):
             return labels
     raise RuntimeError("components did not settle")

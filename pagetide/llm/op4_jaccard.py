@@ -319,12 +319,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     reps = rows.where("length(sigs) > 0").join(classes, ["d1", "d2"]).where("doc_id = rep")
     count = partitions(spark)
     ties = reps.select(F.col("rep").alias("node"), "sigs").mapInArrow(_pack(count), "p int, sig binary, node binary").repartition(count, "p").mapInArrow(_reduce, "a long, b long")
-    candidates = components(ties)
+    candidates = components(ties)  # plans are kept short: the driver holds every version of a running plan
     members = candidates.join(rows.join(classes, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("node"), "n_shingles"), "node")
     sizes = members.groupBy("label").agg(F.sum("n_shingles").alias("total"))
     blocks = sizes.select(F.col("label"), F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
     # a node goes to each pair of blocks its own takes part in; components of one block share a task by hash
-    spread = candidates.join(blocks, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = candidates.join(cut(blocks), "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.select("node", F.col("label").alias("comp"), "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select(
         "node", "comp",
@@ -333,8 +333,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     )
     held = texts.join(candidates.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
     found = spread.join(held, "node").repartition(count, "key").sortWithinPartitions("key").mapInArrow(_verify(words, num, den), "a long, b long")
-    lacking = rows.where("lacks").join(classes, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
-    lacking = lacking if lacking.limit(1).count() else None
+    lacking = None
+    if rows.where("lacks and doc_id is not null").head(1):
+        lacking = rows.where("lacks").join(classes, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
     block: list[tuple[int, bytes]] = []
     for row in texts.join(lacking, "doc_id").mapInArrow(_hashes(words), "node long, hashes binary").toLocalIterator() if lacking else ():
         block.append((row.node, bytes(row.hashes)))
@@ -345,7 +346,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     # an id with several texts ties their classes together
     several = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     tied = rows.join(several, "doc_id").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = found.union(tied)
+    found = cut(found.union(tied)) if several.head(1) else cut(found)
     labels = components(found)
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))

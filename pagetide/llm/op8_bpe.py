@@ -177,24 +177,38 @@ class WordBpe:
 
 
 class PieceCache:
-    """Bounded memory of what a function gives for pieces of text; what is used again outlives the rest."""
+    """Bounded memory of what a function gives for pieces of text; what is used again outlives the rest.
 
-    def __init__(self, fresh: Callable[[list[str]], list[bytes]], held: int = 300_000):
+    A piece of letters that ends in a full stop or comma is two words in these vocabularies, and
+    ASCII letters are lower-cased, so such pieces share what their letters give.
+    """
+
+    def __init__(self, fresh: Callable[[list[str]], list[bytes]], held: int = 600_000):
         self.fresh, self.held = fresh, held
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ends = dict(zip(".,", fresh([".", ","])))
 
     def of(self, pieces: list[str]) -> list[bytes]:
         got = list(map(self.new.get, pieces))
         if None in got:
-            lack = list({w for w, x in zip(pieces, got) if x is None})
-            own = {w: x for w in lack if (x := self.old.get(w)) is not None}
-            lack = [w for w in lack if w not in own]
-            own.update(zip(lack, self.fresh(lack)))
+            own, roots = {}, {}
+            for w in {w for w, x in zip(pieces, got) if x is None}:
+                if (x := self.old.get(w)) is not None:
+                    own[w] = x
+                    continue
+                root, end = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].lower().isalpha() else (w, "")
+                roots[w] = (root.lower() if root.isascii() and root.isalpha() else root, end)
+            lack = {root for root, _ in roots.values()}
+            known = {r: x for r in lack if (x := self.new.get(r) or own.get(r) or self.old.get(r)) is not None}
+            lack = [r for r in lack if r not in known]
+            known.update(zip(lack, self.fresh(lack)))
+            own.update((w, known[r] + self.ends[e] if e else known[r]) for w, (r, e) in roots.items())
             got = [own[w] if x is None else x for w, x in zip(pieces, got)]
-            if len(self.new) + len(own) > self.held:
+            if len(self.new) + len(own) + len(lack) > self.held:
                 self.old, self.new = self.new, {}
-            self.new.update((w, x) for w, x in own.items() if len(w) <= 64)
+            for held in (own, zip(lack, map(known.__getitem__, lack))):
+                self.new.update((w, x) for w, x in (held.items() if isinstance(held, dict) else held) if len(w) <= 64)
         return got
 
 
