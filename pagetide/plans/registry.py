@@ -1,14 +1,209 @@
-"""Queries of the reading-stream operators, with their SQL."""
+"""Queries of the reading-stream operators over the driver's tables, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagetide.functions import geometry, notation, pacing, text
+from pagetide.operators import sequence, speech, tokenize
+from pagetide.streaming import latest
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.explode(text.words(F.col("text"))).alias("value"))
+
+
+def pacing_by_document(spark, sf_dir):
+    """Reading time, words and sentence ends of each document, per-item pacing summed within the row: no shuffle."""
+    w = text.words(F.col("text"))
+    delays = F.transform(w, lambda v: pacing.reading_delay(v, 300.0))
+    total = F.aggregate(delays, F.lit(0.0), lambda a, d: a + d)
+    return _docs(spark, sf_dir).select("doc_id", F.size(w).cast("long").alias("words"), total.alias("reading_ms"), F.size(F.filter(w, lambda v: v.rlike(pacing.SENTENCE))).cast("long").alias("sentence_ends"))
+
+
+def pacing_by_mode(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    return t.agg(*(F.sum(pacing.reading_delay(F.col("value"), 300.0, m)).alias(f"{m}_ms") for m in pacing.PROFILES))
+
+
+def basic_delay(spark, sf_dir):
+    t = _tokens(spark, sf_dir).withColumn("m", text.is_math_token(F.col("value")))
+    return t.groupBy("doc_id").agg(F.sum(pacing.basic_delay(F.col("value"), 300, F.col("m"))).cast("double").alias("delay_ms"), F.count_if("m").alias("math_tokens"))
+
+
+def speech_locale(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", speech.speech_locale(F.col("text")).alias("locale"))
+
+
+def orp_histogram(spark, sf_dir):
+    return _tokens(spark, sf_dir).groupBy(text.orp_index(F.col("value")).cast("long").alias("orp")).agg(F.count("*").alias("n"))
+
+
+def equation_like_tokens(spark, sf_dir):
+    t = _tokens(spark, sf_dir).groupBy("value").count()
+    v = F.col("value")
+    return t.where(notation.is_equation_like(v) | notation.equation_label(v, bare=True).isNotNull()).select("value", F.col("count").alias("n"), notation.is_equation_like(v).alias("equation"), notation.equation_label(v, bare=True).alias("label"))
+
+
+def token_scalars(spark, sf_dir):
+    v = F.col("value")
+    return _tokens(spark, sf_dir).agg(
+        F.sum(text.readable_count(v)).cast("long").alias("readable"), F.count_if(text.is_acronym(v)).alias("acronyms"), F.sum(text.parenthesis_count(v)).cast("long").alias("parentheses"),
+        F.count_if(notation.is_glyph_token(v)).alias("glyph_tokens"), F.sum(notation.signal_count(v)).cast("long").alias("signals"),
+    )
+
+
+def line_repair(spark, sf_dir):
+    c = text.clean_text(text.nfc(F.col("text")))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(c.cast("binary")).alias("cleaned_md5"), F.size(text.sentences(c)).cast("long").alias("sentences"))
+
+
+def sentence_bounds(spark, sf_dir):
+    x = sequence.with_replay(sequence.reading_items(_docs(spark, sf_dir)))
+    return x.groupBy("doc_id").agg(F.countDistinct("sentence_id").alias("sentences"), F.sum("start_idx").cast("long").alias("starts"), F.sum("end_idx").cast("long").alias("ends"), F.sum("replay_idx").cast("long").alias("replays"))
+
+
+def side_context(spark, sf_dir):
+    x = sequence.with_context(sequence.reading_items(_docs(spark, sf_dir)), 3)
+    return x.groupBy("doc_id").agg(F.sum(F.length(F.array_join("before", " "))).cast("long").alias("before_chars"), F.sum(F.length(F.array_join("after", " "))).cast("long").alias("after_chars"))
+
+
+def timeline(spark, sf_dir):
+    x = sequence.with_timeline(sequence.reading_items(_docs(spark, sf_dir)))
+    return x.groupBy("doc_id").agg(F.max("start_ms").alias("last_start_ms"), F.sum("delay_ms").alias("total_ms"), F.sum("start_ms").alias("sum_start_ms"))
+
+
+def tokenize_selection(spark, sf_dir):
+    x = tokenize.tokenize_selection(_docs(spark, sf_dir))
+    return x.groupBy("doc_id").agg(F.count("*").alias("items"), F.count_if(F.col("kind") == "equation").alias("equations"), F.count("label").alias("labels"))
+
+
+def speech_chunks(spark, sf_dir):
+    x = tokenize.speech_chunks(sequence.reading_items(_docs(spark, sf_dir)))
+    return x.select("doc_id", "chunk_id", F.length("text").alias("chars"), "start_idx", "end_idx", F.size("entries").alias("entries"))
+
+
+def boundary_asof(spark, sf_dir):
+    """Events by user as positions among the same user's page views: the last view at or before each."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.unix_seconds("ts"))
+    t0 = F.lit(1_000_000_000)
+    entries = e.where("event_id % 5 = 0").groupBy(F.col("user_id").alias("chunk_id"), (F.col("at") - t0).alias("start")).agg(F.max("event_id").alias("item_idx"))
+    return speech.boundary_items(entries, e.where("event_id % 5 <> 0").select(F.col("user_id").alias("chunk_id"), "event_id", (F.col("at") - t0).alias("position")))
+
+
+def latest_event_per_user(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return latest.latest_stream(e.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts").select("user_id", "event_id", "event_type")
+
+
+def voice_choice(spark, sf_dir):
+    voices = [
+        {"voice_name": "Remote English", "lang": "en-US", "remote": True, "event_types": ["word"]},
+        {"voice_name": "Local English", "lang": "en-US", "remote": False, "event_types": []},
+        {"voice_name": "Local English Events", "lang": "en-US", "remote": False, "event_types": ["word"]},
+        {"voice_name": "Local French", "lang": "fr-FR", "remote": False, "event_types": ["word"]},
+    ]
+    d = _docs(spark, sf_dir).withColumn("preferred", F.when(F.col("doc_id") % 7 == 0, "Remote English").otherwise("auto"))
+    return d.select("doc_id", speech.choose_voice(voices, F.col("preferred"), speech.speech_locale(F.col("text"))).alias("voice"))
+
+
+def url_fields(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", text.page_hint(F.col("url")).alias("page_hint"), text.document_name(F.col("url")).alias("document_name"))
+
+
+def nms(spark, sf_dir):
+    """Suppression over boxes made from order lines: one page an order."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    box = F.struct(
+        (F.col("l_partkey") % 40).cast("double").alias("x"), (F.col("l_suppkey") % 20).cast("double").alias("y"), F.lit(30.0).alias("width"), F.lit(20.0).alias("height"),
+        F.when(F.col("l_returnflag") == "N", "display").otherwise("inline").alias("kind"), (1 - F.col("l_linenumber") / 100.0).alias("confidence"),
+    )
+    pages = li.groupBy("l_orderkey").agg(F.collect_list(box).alias("regions"))
+    kept = geometry.non_max_suppression(F.col("regions"))
+    return pages.select("l_orderkey", F.size("regions").alias("regions"), F.size(kept).alias("kept"))
+
+
+def layout_scalars(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    w, h = (F.col("o_orderkey") % 2000).cast("double"), (F.col("o_custkey") % 1200).cast("double")
+    return o.select("o_orderkey", geometry.content_scale(h).alias("content_scale"), geometry.context_lane(w, F.col("o_orderkey") % 9).cast("long").alias("lane"), geometry.pixel_ratio(w * 4, h * 4).alias("pixel_ratio"), pacing.speech_rate(w).alias("speech_rate"))
+
+
+flagship = pacing_by_document
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pacing_by_document, pacing_by_mode, basic_delay, speech_locale, orp_histogram, equation_like_tokens, token_scalars, line_repair, sentence_bounds, side_context,
+        timeline, tokenize_selection, speech_chunks, boundary_asof, latest_event_per_user, voice_choice, url_fields, nms, layout_scalars,
+    )
+}
+
+_WS = "[\\t\\n\\x0B\\f\\r \\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
+_TOKENS = f"tokens AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda w: w <> '')) AS value FROM documents)"
+_ENDS = "regexp_matches(value, '[.!?…]+[”’\\x22\\x27»)\\]]*$')"
+_ACRONYM = "(length(regexp_replace(value, '[^\\p{L}]', '', 'g')) >= 2 AND NOT regexp_matches(regexp_replace(value, '[^\\p{L}]', '', 'g'), '[^\\p{Lu}]'))"
+
+
+def _delay(mode: str, paragraph: str = "false") -> str:
+    step, most, num, acr, clause, paren, sent, para, factor = pacing.PROFILES[mode]
+    d = lambda v: f"CAST({v} AS DOUBLE)"
+    bonus = f"(CASE WHEN regexp_matches(value, '\\p{{N}}') THEN {d(num)} ELSE 0 END + CASE WHEN {_ACRONYM} THEN {d(acr)} ELSE 0 END + CASE WHEN NOT {_ENDS} AND regexp_matches(value, '[,;:]+[”’\\x22\\x27»)\\]]*$') THEN {d(clause)} ELSE 0 END)"
+    length = f"least({d(most)}, greatest(0, len(regexp_extract_all(value, '[\\p{{L}}\\p{{N}}]')) - 7) * {d(step)})"
+    pause = f"CASE WHEN {_ENDS} THEN {d(sent)} ELSE 0 END + (regexp_matches(value, '[(（]')::INT + regexp_matches(value, '[)）]')::INT) * {d(paren)} + CASE WHEN {paragraph} THEN {d(para)} ELSE 0 END"
+    return f"floor({d(200)} * least({d(factor)}, 1 + {bonus}) + {length} + {pause} + {d(0.5)})"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
+_ITEMS = f"""
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS l FROM documents),
+parts AS (SELECT doc_id, l, list_filter(regexp_split_to_array(line, '{_WS}+'), lambda w: w <> '') AS ws FROM lines),
+each AS (SELECT doc_id, l, unnest(ws) AS value, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM parts),
+items AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l, i) - 1 AS item_idx, value, i = n AS paragraph_end FROM each)"""
+_SENTENCES = f"""
+s AS (SELECT *, coalesce(sum((paragraph_end OR {_ENDS})::INT) OVER (PARTITION BY doc_id ORDER BY item_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid FROM items),
+b AS (SELECT *, min(item_idx) OVER (PARTITION BY doc_id, sid) AS st, max(item_idx) OVER (PARTITION BY doc_id, sid) AS en FROM s)"""
+_FR = ", ".join(f"'{w}'" for w in speech.FRENCH)
+_EN = ", ".join(f"'{w}'" for w in speech.ENGLISH)
+_LOCALE = f"""loc AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+'), lambda w: w IN ({_FR}))) + CASE WHEN regexp_matches(lower(coalesce(text, '')), '[àâçéèêëîïôùûüÿœ]') THEN 2 ELSE 0 END AS fr,
+  len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+'), lambda w: w IN ({_EN}))) AS en FROM documents),
+locale AS (SELECT doc_id, CASE WHEN en > fr THEN 'en-US' ELSE 'fr-FR' END AS locale FROM loc)"""
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+ORACLE = {
+    "pacing_by_document": f"""WITH {_TOKENS}, t AS (SELECT doc_id, count(*) AS words, sum({_delay('normal')}) AS reading_ms, count(*) FILTER ({_ENDS}) AS sentence_ends FROM tokens GROUP BY doc_id)
+SELECT d.doc_id, coalesce(words, 0) AS words, coalesce(reading_ms, CAST(0 AS DOUBLE)) AS reading_ms, coalesce(sentence_ends, 0) AS sentence_ends FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "pacing_by_mode": f"WITH {_TOKENS} SELECT " + ", ".join(f"sum({_delay(m)}) AS {m}_ms" for m in pacing.PROFILES) + " FROM tokens",
+    "basic_delay": f"""WITH {_TOKENS}, m AS (SELECT *, regexp_matches(value, '\\\\(?:frac|sqrt|sum|int|lim|alpha|beta|gamma|theta|lambda|mu|sigma|omega)\\b|[∑∫√∞≈≠≤≥±×÷∂∇]|[A-Za-z]{_WS}*[=<>]{_WS}*[^,.;:!?]+')
+  OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[=+*/^_()\\[\\]{{}}]')) AS math FROM tokens)
+SELECT doc_id, sum(floor(CAST(200 AS DOUBLE) * (CAST(1 AS DOUBLE) + CASE WHEN regexp_matches(value, '[.!?][”’\\x22\\x27]?$') THEN CAST(1.4 AS DOUBLE) WHEN regexp_matches(value, '[,;:][”’\\x22\\x27]?$') THEN CAST(0.65 AS DOUBLE) ELSE 0 END
+  + CASE WHEN length(value) >= 12 THEN least(CAST(0.8 AS DOUBLE), (length(value) - 11) * CAST(0.08 AS DOUBLE)) ELSE 0 END + CASE WHEN math THEN CAST(1.25 AS DOUBLE) ELSE 0 END) + CAST(0.5 AS DOUBLE))) AS delay_ms, count(*) FILTER (math) AS math_tokens FROM m GROUP BY doc_id""",
+    "speech_locale": f"WITH {_LOCALE} SELECT doc_id, locale FROM locale",
+    "orp_histogram": f"WITH {_TOKENS} SELECT CAST(CASE WHEN length(value) <= 1 THEN 0 WHEN length(value) <= 5 THEN 1 WHEN length(value) <= 9 THEN 2 WHEN length(value) <= 13 THEN 3 ELSE 4 END AS BIGINT) AS orp, count(*) AS n FROM tokens GROUP BY 1",
+    "token_scalars": f"""WITH {_TOKENS} SELECT CAST(sum(len(regexp_extract_all(value, '[\\p{{L}}\\p{{N}}]'))) AS BIGINT) AS readable, count(*) FILTER ({_ACRONYM}) AS acronyms,
+  CAST(sum(regexp_matches(value, '[(（]')::INT + regexp_matches(value, '[)）]')::INT) AS BIGINT) AS parentheses,
+  count(*) FILTER (regexp_matches(value, '^[0-9A-Za-zΑ-ωℏħψφχρμνλσπτδεγ∂∇□=≡+−–*/^_<>≈≠≤≥±×÷∝→↦⇒∑∫∏√∞{{}}\\[\\](),.;:{notation.SCRIPTS}]+$') AND (length(value) <= 3 OR regexp_matches(value, '[0-9]') OR regexp_matches(value, '{notation.SIGN_OR_BOX}'))) AS glyph_tokens,
+  CAST(sum(len(regexp_extract_all(value, '{notation.SIGNAL}'))) AS BIGINT) AS signals FROM tokens""",
+    "sentence_bounds": f"""WITH {_ITEMS}, {_SENTENCES}, r AS (SELECT *, CASE WHEN item_idx > st THEN st ELSE coalesce(lag(st) OVER (PARTITION BY doc_id ORDER BY item_idx), st) END AS rp FROM b)
+SELECT doc_id, count(DISTINCT sid) AS sentences, CAST(sum(st) AS BIGINT) AS starts, CAST(sum(en) AS BIGINT) AS ends, CAST(sum(rp) AS BIGINT) AS replays FROM r GROUP BY doc_id""",
+    "side_context": f"""WITH {_ITEMS}, c AS (SELECT doc_id, string_agg(value, ' ') OVER (PARTITION BY doc_id ORDER BY item_idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS b, string_agg(value, ' ') OVER (PARTITION BY doc_id ORDER BY item_idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS a FROM items)
+SELECT doc_id, CAST(sum(length(coalesce(b, ''))) AS BIGINT) AS before_chars, CAST(sum(length(coalesce(a, ''))) AS BIGINT) AS after_chars FROM c GROUP BY doc_id""",
+    "timeline": f"""WITH {_ITEMS}, d AS (SELECT doc_id, item_idx, {_delay('normal', 'paragraph_end')} AS ms FROM items), t AS (SELECT *, coalesce(sum(ms) OVER (PARTITION BY doc_id ORDER BY item_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST(0 AS DOUBLE)) AS pos FROM d)
+SELECT doc_id, max(pos) AS last_start_ms, sum(ms) AS total_ms, sum(pos) AS sum_start_ms FROM t GROUP BY doc_id""",
+    "boundary_asof": """WITH e AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) - 1000000000 AS pos FROM events),
+n AS (SELECT user_id, pos, max(event_id) AS item_idx FROM e WHERE event_id % 5 = 0 GROUP BY 1, 2), f AS (SELECT user_id, min_by(item_idx, pos) AS first FROM n GROUP BY 1),
+v AS (SELECT user_id, event_id, greatest(0, pos) AS pos FROM e WHERE event_id % 5 <> 0)
+SELECT v.user_id AS chunk_id, v.event_id, coalesce(n.item_idx, f.first) AS item_idx FROM v ASOF LEFT JOIN n ON v.user_id = n.user_id AND v.pos >= n.pos LEFT JOIN f ON v.user_id = f.user_id""",
+    "latest_event_per_user": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
+    "voice_choice": f"WITH {_LOCALE} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Remote English' WHEN locale = 'en-US' THEN 'Local English Events' ELSE 'Local French' END AS voice FROM locale",
+    "url_fields": r"""WITH p AS (SELECT page_id, url, CAST(nullif(regexp_extract(url, '(?i)(?:[#?&]page=|/page/)([0-9]+)', 1), '') AS BIGINT) AS page_hint, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages)
+SELECT page_id, page_hint, CASE WHEN len(parts) > 0 AND NOT regexp_matches(parts[-1], '(?i)^(?:index|edge_pdf)\.html?$') THEN parts[-1] END AS document_name FROM p""",
+    "layout_scalars": """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 2000 AS DOUBLE) AS w, CAST(o_custkey % 1200 AS DOUBLE) AS h, o_orderkey % 9 AS c FROM orders)
+SELECT o_orderkey, floor(least(CAST(1.6 AS DOUBLE), 1 + greatest(CAST(0 AS DOUBLE), h - 255) / 500) * 100 + CAST(0.5 AS DOUBLE)) / 100 AS content_scale,
+  CAST(CASE WHEN w > 0 AND c > 0 THEN floor(least(least(CAST(300 AS DOUBLE), greatest(CAST(0 AS DOUBLE), w / 2 - 72)), greatest(CASE WHEN c = 1 THEN CAST(72 AS DOUBLE) ELSE CAST(96 AS DOUBLE) END, w * least(CAST(0.38 AS DOUBLE), CAST(0.14 AS DOUBLE) + least(7, c) * CAST(0.035 AS DOUBLE)))) + CAST(0.5 AS DOUBLE)) ELSE 0 END AS BIGINT) AS lane,
+  CASE WHEN w * h > 0 THEN greatest(CAST(1 AS DOUBLE), least(CAST(2 AS DOUBLE), sqrt(CAST(16000000 AS DOUBLE) / (w * 4 * (h * 4))))) ELSE CAST(1 AS DOUBLE) END AS pixel_ratio,
+  CASE WHEN w > 0 THEN floor(least(CAST(4 AS DOUBLE), greatest(CAST(0.4 AS DOUBLE), w / 200)) * 100 + CAST(0.5 AS DOUBLE)) / 100 ELSE CAST(1 AS DOUBLE) END AS speech_rate FROM o""",
+}
