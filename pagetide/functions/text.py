@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as ECMAScript has it, for character classes.
 SPACE = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
@@ -16,7 +17,7 @@ _ANY = f"[{SPACE}]*"
 _PREFIX = "(?i:" + "|".join(COMPOUND) + ")"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no built-in for it."""
     return s.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from pagetide.functions import notation as nt
 from pagetide.functions.text import COMPOUND
@@ -127,7 +128,7 @@ def selection_items(text: str | None, detected_prose: bool = False) -> list[tupl
     return [y for x in out for y in split(x)]
 
 
-_ITEMS = "array<struct<value:string,kind:string,label:string>>"
+_ITEMS = ArrayType(StructType([StructField(k, StringType()) for k in ("value", "kind", "label")]))
 
 
 @F.pandas_udf(_ITEMS)
