@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pagetide.functions.pacing import before_equation, ends_sentence, reading_delay
 from pagetide.functions.text import SPACE, words
 
-ORDER = W.partitionBy("doc_id").orderBy("item_idx")
+
+def _order():
+    return W.partitionBy("doc_id").orderBy("item_idx")
 
 
 def reading_items(docs: DataFrame) -> DataFrame:
@@ -22,7 +24,7 @@ def reading_items(docs: DataFrame) -> DataFrame:
 def with_sentences(items: DataFrame) -> DataFrame:
     """items with sentence_id, and start_idx and end_idx of the sentence."""
     end = ends_sentence(F.col("value"), F.col("paragraph_end"))
-    x = items.withColumn("__e", end.cast("int")).withColumn("sentence_id", F.coalesce(F.sum("__e").over(ORDER.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")).drop("__e")
+    x = items.withColumn("__e", end.cast("int")).withColumn("sentence_id", F.coalesce(F.sum("__e").over(_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")).drop("__e")
     s = W.partitionBy("doc_id", "sentence_id")
     return x.withColumn("start_idx", F.min("item_idx").over(s)).withColumn("end_idx", F.max("item_idx").over(s))
 
@@ -30,7 +32,7 @@ def with_sentences(items: DataFrame) -> DataFrame:
 def with_replay(items: DataFrame) -> DataFrame:
     """items with sentences and replay_idx: the sentence's start, or from there the start of the one before."""
     x = with_sentences(items)
-    before = F.lag("start_idx").over(ORDER)  # at a sentence's first item, the item before belongs to the sentence before
+    before = F.lag("start_idx").over(_order())  # at a sentence's first item, the item before belongs to the sentence before
     return x.withColumn("replay_idx", F.when(F.col("item_idx") > F.col("start_idx"), F.col("start_idx")).otherwise(F.coalesce(before, F.col("start_idx"))))
 
 
@@ -39,7 +41,7 @@ def with_context(items: DataFrame, k: int) -> DataFrame:
     if k <= 0:
         return items.withColumn("before", F.array().cast("array<string>")).withColumn("after", F.array().cast("array<string>"))
     prose = F.when(F.col("kind") != "equation", 1).otherwise(0)
-    x = items.withColumn("__n", F.sum(prose).over(ORDER))  # prose items up to here
+    x = items.withColumn("__n", F.sum(prose).over(_order()))  # prose items up to here
     own = F.when(F.col("kind") != "equation", F.struct("__n", "value"))
     rank = W.partitionBy("doc_id").orderBy("__n")
     prior = F.collect_list(own).over(rank.rangeBetween(-k, 0))
@@ -52,12 +54,12 @@ def with_context(items: DataFrame, k: int) -> DataFrame:
 
 def with_timeline(items: DataFrame, wpm: float = 300, mode: str | Column = "normal") -> DataFrame:
     """items with delay_ms (a following equation takes the pause of the word before it) and start_ms."""
-    to_equation = (F.lead("kind").over(ORDER) == "equation") & (F.col("kind") != "equation")
+    to_equation = (F.lead("kind").over(_order()) == "equation") & (F.col("kind") != "equation")
     x = items.withColumn("__q", F.coalesce(to_equation, F.lit(False)))
     plain = reading_delay(F.col("value"), wpm, mode, F.col("kind"), F.col("paragraph_end"))
     short = reading_delay(before_equation(F.col("value")), wpm, mode, F.col("kind"))
     x = x.withColumn("delay_ms", F.when(F.col("__q"), short).otherwise(plain)).drop("__q")
-    return x.withColumn("start_ms", F.coalesce(F.sum("delay_ms").over(ORDER.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    return x.withColumn("start_ms", F.coalesce(F.sum("delay_ms").over(_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
 
 
 def equation_counts(items: DataFrame) -> DataFrame:

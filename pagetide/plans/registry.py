@@ -90,10 +90,9 @@ def speech_chunks(spark, sf_dir):
 
 def boundary_asof(spark, sf_dir):
     """Events by user as positions among the same user's page views: the last view at or before each."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.unix_seconds("ts"))
-    t0 = F.lit(1_000_000_000)
-    entries = e.where("event_id % 5 = 0").groupBy(F.col("user_id").alias("chunk_id"), (F.col("at") - t0).alias("start")).agg(F.max("event_id").alias("item_idx"))
-    return speech.boundary_items(entries, e.where("event_id % 5 <> 0").select(F.col("user_id").alias("chunk_id"), "event_id", (F.col("at") - t0).alias("position")))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.expr("timestampdiff(SECOND, timestamp_ntz'2001-09-09 01:46:40', ts)"))
+    entries = e.where("event_id % 5 = 0").groupBy(F.col("user_id").alias("chunk_id"), F.col("at").alias("start")).agg(F.max("event_id").alias("item_idx"))
+    return speech.boundary_items(entries, e.where("event_id % 5 <> 0").select(F.col("user_id").alias("chunk_id"), "event_id", F.col("at").alias("position")))
 
 
 def latest_event_per_user(spark, sf_dir):
