@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from pagetide.llm.shared import cut, grouped, partitions
 
 
+NONE = -(1 << 62)  # below every code, and its negative is a number too
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -63,12 +66,12 @@ def _solve(k: int, dim: int):
                 rows = q[at : at + 256]
                 score = np.rint(v[rows] @ v[x].T).astype(np.int64)
                 code = score * n + (n - 1 - np.arange(n))  # one number, larger for the smaller id at equal score
-                code[ids[rows][:, None] == ids[x][None, :]] = np.iinfo(np.int64).min
+                code[ids[rows][:, None] == ids[x][None, :]] = NONE
                 top = min(k, n)
                 best = np.argpartition(-code, top - 1, axis=1)[:, :top] if top < n else np.tile(np.arange(n), (len(rows), 1))
                 i = np.repeat(np.arange(len(rows)), top)
                 j = best.ravel()
-                ok = code[i, j] != np.iinfo(np.int64).min
+                ok = code[i, j] != NONE
                 for o, a in zip(out, (ids[rows][i[ok]], ids[x][j[ok]], score[i[ok], j[ok]])):
                     o.append(a)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
