@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -10,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def _norm(df):
     df = df[sorted(df.columns)]
-    return sorted((tuple(None if v is None or v is pd.NaT or v != v else round(float(v), 4) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row) for row in df.itertuples(index=False)), key=str)
+    return sorted((tuple(None if pd.isna(v) else round(float(v), 4) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v) for v in row) for row in df.itertuples(index=False)), key=str)
 
 
 def test_entry(spark):
