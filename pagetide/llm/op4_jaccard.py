@@ -66,7 +66,7 @@ class Scheme:
         h = max(self.most_difference(s, r) for r in range(max(s, s * self.den // self.num - 40), s * self.den // self.num + 1))
         small, best = int(self.low[band]), None
         if h > 0:
-            for m in range(max(2, (h + 2) // 2), h + 14):
+            for m in range(max(2, (h + 2) // 2), h + 14 + h // 3):
                 for d in {0, 1, 2, m} if m > 2 else {0, m}:
                     z = -1
                     while z + 1 < m and (m - z - 1) + max(0, d - z - 1) >= h + 1:
@@ -182,7 +182,7 @@ def _pack(count: int):
                 node = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in blobs])
                 sig, node, a, b = _ties(np.concatenate(blobs), node)
                 p = ((sig >> _U(40)) % _U(count)).astype(np.int32)
-                order = np.argsort(p, kind="stable")
+                order = np.lexsort((node, p))  # a document's entries side by side: their ids then compress to little
                 p, sig, node = p[order], sig[order], node[order]
                 cuts = np.flatnonzero(np.diff(p)) + 1
                 rows_p = p[np.concatenate(([0], cuts))]
@@ -316,9 +316,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(texts.mapInArrow(_summaries(words, num, den), "doc_id long, n_shingles long, d1 long, d2 long, sigs binary, lacks boolean"))
     classes = cut(rows.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    reps = rows.where("length(sigs) > 0").join(classes, ["d1", "d2"]).where("doc_id = rep")
     count = partitions(spark)
-    ties = reps.select(F.col("rep").alias("node"), "sigs").mapInArrow(_pack(count), "p int, sig binary, node binary").repartition(count, "p").mapInArrow(_reduce, "a long, b long")
+    ties = rows.where("length(sigs) > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "sigs").mapInArrow(_pack(count), "p int, sig binary, node binary").repartition(count, "p").mapInArrow(_reduce, "a long, b long")
+    # ties between documents become ties between representatives; signatures themselves are not moved for that
+    rep_of = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep")
+    ties = ties.join(rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep_of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
+    ties = ties.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
     candidates = components(ties)  # plans are kept short: the driver holds every version of a running plan
     members = candidates.join(rows.join(classes, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("node"), "n_shingles"), "node")
     sizes = members.groupBy("label").agg(F.sum("n_shingles").alias("total"))
