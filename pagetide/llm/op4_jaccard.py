@@ -319,9 +319,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     count = partitions(spark)
     ties = rows.where("length(sigs) > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "sigs").mapInArrow(_pack(count), "p int, sig binary, node binary").repartition(count, "p").mapInArrow(_reduce, "a long, b long")
     # ties between documents become ties between representatives; signatures themselves are not moved for that
-    rep_of = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep")
+    rep_of = cut(rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep"))
     ties = ties.join(rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep_of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-    ties = ties.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
+    ties = cut(ties.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
     candidates = components(ties)  # plans are kept short: the driver holds every version of a running plan
     members = candidates.join(rows.join(classes, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("node"), "n_shingles"), "node")
     sizes = members.groupBy("label").agg(F.sum("n_shingles").alias("total"))
