@@ -9,12 +9,15 @@ designated segments are chosen per band for the fewest index rows, with the chan
 set lacks the weight (too many empty segments) below 1e-10; sets that do lack it are compared with
 every document in blocks, so no link is ever lost.
 
-Equal sets collapse to one representative first. Signatures travel as packed arrays, pre-aggregated
-per batch: of a batch's sets with one signature only the smallest id is sent on, the others are
-tied to it at once, so a hot signature costs a reducer one entry a batch. Ties make candidate
-components; within these, sets are compared in blocks on the real shingle strings, with a parity
-sketch (a lower bound of the difference) before it and a union-find that skips pairs already
-connected.
+Equal sets collapse to one representative (within a batch before anything is sent, so a set that a
+third of all rows repeat gives one entry a batch). Signatures travel as packed arrays, 40 bits each
+beside their fine partition; a clash only adds a candidate. Of the sets with one signature the
+smallest id is the lead, tied to each of the others. All pairs that share a signature lie within
+some lead's neighbourhood (the lead and all tied to it), so comparing inside neighbourhoods misses
+nothing, and their sizes add up to the ties, which are linear in the signatures. A neighbourhood is
+compared in blocks on the real shingle strings, pairs of blocks in tasks of their own, with the
+size bound and a parity sketch (a lower bound of the difference) before it and a union-find that
+skips pairs already connected.
 
 Defined results: null or blank text has no shingles and links with nothing; text with fewer words
 than a shingle has its whole word sequence as its one shingle; rows with a null id have a null
@@ -140,75 +143,97 @@ def shingle_rows(words: int):
     return of
 
 
-def _summaries(words: int, num: int, den: int):
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _summaries(words: int):
     def run(batches):
-        sch, of = scheme(num, den), shingle_rows(words)
+        of = shingle_rows(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, d1, d2, sigs, short = [], [], [], [], []
+                n, d = [], []
                 for s in of(part.column(1)):
-                    a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    keys, lacks = signatures(s, sch) if len(s) else (s, False)
                     n.append(len(s))
-                    d1.append(a)
-                    d2.append(b)
-                    sigs.append(keys.tobytes())
-                    short.append(lacks)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sigs, pa.binary()), pa.array(short, pa.bool_())], ["doc_id", "n_shingles", "d1", "d2", "sigs", "lacks"])
+                    d.append(_digest(s))
+                d = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "n_shingles", "d1", "d2"])
 
     return run
 
 
-def _ties(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by signature then node: the first node of each signature, and (first, other) ties."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    head = np.ones(len(sig), bool)
-    head[1:] = sig[1:] != sig[:-1]
-    lead = node[head][np.cumsum(head) - 1]
-    rest = ~head & (lead != node)
-    return sig[head], node[head], lead[rest], node[rest]
+_KEPT = 5  # bytes of a signature that travel beside its fine partition
+
 
+def _pack(words: int, num: int, den: int, fine: int):
+    """Rows (p, sig, node): all entries of one batch in one fine partition. p = -1 holds ids whose sets lack weight."""
 
-def _pack(count: int):
     def run(batches):
+        sch, of = scheme(num, den), shingle_rows(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                blobs = [np.frombuffer(x, _U) for x in part.column(1).to_pylist()]
-                if not sum(map(len, blobs)):
-                    continue
-                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in blobs])
-                sig, node, a, b = _ties(np.concatenate(blobs), node)
-                p = ((sig >> _U(40)) % _U(count)).astype(np.int32)
-                order = np.lexsort((node, p))  # a document's entries side by side: their ids then compress to little
-                p, sig, node = p[order], sig[order], node[order]
-                cuts = np.flatnonzero(np.diff(p)) + 1
-                rows_p = p[np.concatenate(([0], cuts))]
-                s_parts, n_parts = np.split(sig, cuts), np.split(node, cuts)
-                tied = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-                out = [(int(q), x.tobytes(), y.tobytes()) for q, x, y in zip(rows_p, s_parts, n_parts)]
-                out.append((int(p[0]), b"", tied.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["p", "sig", "node"])
+                docs = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                least: dict[bytes, tuple[int, np.ndarray]] = {}
+                for doc, s in zip(docs.tolist(), of(part.column(1))):
+                    if len(s):
+                        key = _digest(s)
+                        if key not in least or doc < least[key][0]:
+                            least[key] = (doc, s)
+                ids, sigs, lacks = [], [], []
+                for doc, s in sorted(least.values(), key=lambda x: x[0]):
+                    keys, short = signatures(s, sch)
+                    ids.append(doc)
+                    sigs.append(keys)
+                    if short:
+                        lacks.append(doc)
+                out = [(-1, b"", np.array(lacks, np.int64).tobytes())] if lacks else []
+                if sum(map(len, sigs)):
+                    node, sig = np.repeat(np.array(ids, np.int64), list(map(len, sigs))), np.concatenate(sigs)
+                    p = ((sig >> _U(8 * _KEPT)) % _U(fine)).astype(np.int32)
+                    order = np.argsort(p, kind="stable")  # ids stay in order within a partition: their steps compress to little
+                    p, sig, node = p[order], sig[order], node[order]
+                    edges = np.concatenate(([0], np.flatnonzero(np.diff(p)) + 1, [len(p)]))
+                    short_sig = sig.view(np.uint8).reshape(-1, 8)[:, :_KEPT]
+                    for a, b in zip(edges[:-1], edges[1:]):
+                        steps = np.diff(node[a:b], prepend=0)
+                        out.append((int(p[a]), short_sig[a:b].tobytes(), steps.view(np.uint8).reshape(-1, 8).T.tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["p", "sig", "node"])
 
     return run
 
 
+def _unpack(sig: bytes, node: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(sig) // _KEPT
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :_KEPT] = np.frombuffer(sig, np.uint8).reshape(n, _KEPT)
+    steps = np.ascontiguousarray(np.frombuffer(node, np.uint8).reshape(8, n).T).view(np.int64).reshape(n)
+    return wide.view(_U).reshape(n), np.cumsum(steps)
+
+
+def _ties(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """(lead, other) for each signature: its smallest node with each of the others."""
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    head = np.ones(len(sig), bool)
+    head[1:] = sig[1:] != sig[:-1]
+    lead = node[head][np.cumsum(head) - 1]
+    rest = lead != node
+    return np.stack([lead[rest], node[rest]], 1)
+
+
 def _reduce(batches):
-    sigs, nodes, tied = [], [], []
-    for batch in batches:
-        for s, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if s:
-                sigs.append(np.frombuffer(s, _U))
-                nodes.append(np.frombuffer(n, np.int64))
-            elif n:
-                tied.append(np.frombuffer(n, np.int64).reshape(-1, 2))
-    if sigs:
-        _, _, a, b = _ties(np.concatenate(sigs), np.concatenate(nodes))
-        tied.append(np.stack([a, b], 1))
-    if tied:
-        pairs = np.unique(np.concatenate(tied), axis=0)
+    """Ties (a, b) of one fine partition at a time; a = b stands for an id whose set lacks weight."""
+    for table in grouped(batches, "p"):
+        if table.column("p")[0].as_py() < 0:
+            ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("node").to_pylist()])
+            pairs = np.stack([ids, ids], 1)
+        else:
+            got = [_unpack(s, n) for s, n in zip(table.column("sig").to_pylist(), table.column("node").to_pylist())]
+            pairs = _ties(np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got]))
+        pairs = np.unique(pairs, axis=0)
         for at in range(0, len(pairs), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + (1 << 16), 0]), pa.array(pairs[at : at + (1 << 16), 1])], ["a", "b"])
 
@@ -314,31 +339,31 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links of Jaccard >= num/den."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(texts.mapInArrow(_summaries(words, num, den), "doc_id long, n_shingles long, d1 long, d2 long, sigs binary, lacks boolean"))
-    classes = cut(rows.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
+    # two passes over the text cost less than keeping or moving the signatures of the first
+    rows = cut(texts.mapInArrow(_summaries(words), "doc_id long, n_shingles long, d1 long, d2 long"))
+    full = rows.where("doc_id is not null and n_shingles > 0")
+    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
+    rep_of = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep", "n"))
     count = partitions(spark)
-    ties = rows.where("length(sigs) > 0 and doc_id is not null").select(F.col("doc_id").alias("node"), "sigs").mapInArrow(_pack(count), "p int, sig binary, node binary").repartition(count, "p").mapInArrow(_reduce, "a long, b long")
-    # ties between documents become ties between representatives; signatures themselves are not moved for that
-    rep_of = cut(rows.where("doc_id is not null and n_shingles > 0").select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep"))
-    ties = ties.join(rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(rep_of.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-    ties = cut(ties.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
-    candidates = components(ties)  # plans are kept short: the driver holds every version of a running plan
-    members = candidates.join(rows.join(classes, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("node"), "n_shingles"), "node")
-    sizes = members.groupBy("label").agg(F.sum("n_shingles").alias("total"))
-    blocks = sizes.select(F.col("label"), F.ceil(F.col("total") / block_shingles).cast("int").alias("blocks"))
-    # a node goes to each pair of blocks its own takes part in; components of one block share a task by hash
-    spread = candidates.join(cut(blocks), "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = spread.select("node", F.col("label").alias("comp"), "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    packed = texts.where("doc_id is not null").mapInArrow(_pack(words, num, den, 8 * count), "p int, sig binary, node binary")
+    raw = cut(packed.repartition(count, "p").sortWithinPartitions("p").mapInArrow(_reduce, "a long, b long"))
+    # ties between documents become ties between representatives
+    ties = raw.where("a <> b").join(rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("lead"), F.col("n").alias("lead_n")), "a").join(rep_of.select(F.col("doc_id").alias("b"), F.col("rep").alias("node"), "n"), "b")
+    both = F.array(F.struct("lead", F.col("lead").alias("node"), F.col("lead_n").alias("n")), F.struct("lead", "node", "n"))
+    candidates = cut(ties.where("lead <> node").select(F.explode(both).alias("m")).select("m.*").distinct())
+    blocks = candidates.groupBy("lead").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    # a node goes to each pair of blocks its own takes part in; neighbourhoods of one block share a task by hash
+    spread = candidates.join(blocks, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = spread.select("node", F.col("lead").alias("comp"), "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select(
         "node", "comp",
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(1 << 20))).otherwise(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
     )
-    held = texts.join(candidates.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "text")
-    found = spread.join(held, "node").repartition(count, "key").sortWithinPartitions("key").mapInArrow(_verify(words, num, den), "a long, b long")
+    found = spread.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").repartition(count, "key").sortWithinPartitions("key").mapInArrow(_verify(words, num, den), "a long, b long")
     lacking = None
-    if rows.where("lacks and doc_id is not null").head(1):
-        lacking = rows.where("lacks").join(classes, ["d1", "d2"]).where("doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
+    if raw.where("a = b").head(1):
+        lacking = raw.where("a = b").join(rep_of.select(F.col("doc_id").alias("a"), "rep"), "a").select(F.col("rep").alias("doc_id")).distinct()
     block: list[tuple[int, bytes]] = []
     for row in texts.join(lacking, "doc_id").mapInArrow(_hashes(words), "node long, hashes binary").toLocalIterator() if lacking else ():
         block.append((row.node, bytes(row.hashes)))
