@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from pagetide.llm import bytewords as bw
 from pagetide.llm.components import components
-from pagetide.llm.shared import cut, grouped, partitions
+from pagetide.llm.shared import cut, grouped, partitions, small_batches
 
 _U = np.uint64
 
@@ -170,10 +170,11 @@ def _pack(words: int, num: int, den: int, fine: int):
     """Rows (p, sig, node): all entries of one batch in one fine partition. p = -1 holds ids whose sets lack weight."""
 
     def run(batches):
-        sch, of = scheme(num, den), shingle_rows(words)
+        sch, of, pool = scheme(num, den), shingle_rows(words), pa.default_memory_pool()
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            pool.release_unused()
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 docs = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 least: dict[bytes, tuple[int, np.ndarray]] = {}
                 for doc, s in zip(docs.tolist(), of(part.column(1))):
@@ -335,9 +336,10 @@ def _hashes(words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 400_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links of Jaccard >= num/den."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # two passes over the text cost less than keeping or moving the signatures of the first
     rows = cut(texts.mapInArrow(_summaries(words), "doc_id long, n_shingles long, d1 long, d2 long"))
@@ -352,8 +354,10 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     both = F.array(F.struct("lead", F.col("lead").alias("node"), F.col("lead_n").alias("n")), F.struct("lead", "node", "n"))
     candidates = cut(ties.where("lead <> node").select(F.explode(both).alias("m")).select("m.*").distinct())
     blocks = candidates.groupBy("lead").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    blocks = cut(blocks.where("blocks > 1"))  # large neighbourhoods alone; few, or else joined by shuffle
+    blocks = F.broadcast(blocks) if blocks.count() <= 20_000 else blocks
     # a node goes to each pair of blocks its own takes part in; neighbourhoods of one block share a task by hash
-    spread = candidates.join(blocks, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = candidates.join(blocks, "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = spread.select("node", F.col("lead").alias("comp"), "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     spread = spread.select(
         "node", "comp",
