@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -41,7 +42,7 @@ def _cache(path: str) -> PieceCache:
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return PieceCache(lambda pieces: [np.array(e.ids, "<i4").tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else [])
+    return PieceCache(lambda pieces: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else [])
 
 
 def _tokenize(path: str, end_id: int):

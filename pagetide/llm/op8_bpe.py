@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import unicodedata
 from array import array
 from collections.abc import Callable
@@ -212,14 +211,14 @@ class PieceCache:
         return got
 
 
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 def cut_pieces(text: str | None) -> list[str]:
     """Pieces of a text between white space (0x1C-0x1F, which str.split takes for white space, stay inside)."""
     if not text:
         return []
-    return [w for w in regex.split(r"\p{White_Space}+", text) if w] if _ODD.search(text) else text.split()
+    return [w for w in regex.split(r"\p{White_Space}+", text) if w] if any(c in text for c in _ODD) else text.split()
 
 
 @lru_cache(maxsize=2)
