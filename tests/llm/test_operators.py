@@ -146,6 +146,32 @@ def test_exchange_finds_classes():
     assert len(set(of[17::2])) == len(set(of[18::2])) == 1 and of[17] != of[18]
 
 
+def test_brown_classes_of_rare_words(spark):
+    """Words far below min_rate, all with one last byte: those after "ha" and those after "hb" must part, as in a brute-force model."""
+    rng = np.random.default_rng(3)
+    pick = lambda: f"ha a{rng.integers(2000)}x hb b{rng.integers(2000)}x"
+    texts = [" ".join(pick() for _ in range(20)) for _ in range(500)]
+    got = {r.doc_id: r.score for r in op5_brown.brown_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True)).collect()}
+
+    def model(of, k):  # the formula of the docstring, with k classes in all
+        flow = [[None, *t.split(), None] for t in texts]
+        c = collections.Counter(w for f in flow for w in f[1:])
+        jump, row, into = (collections.Counter() for _ in range(3))
+        for f in flow:
+            jump.update((of(a), of(b)) for a, b in zip(f, f[1:]))
+            row.update(of(a) for a in f[:-1])
+            into.update(of(b) for b in f[1:])
+        size = collections.Counter(of(w) for w in c)
+        n, v = sum(c.values()), len(c)
+        p = lambda a, b: 0.8 * (jump[of(a), of(b)] + 0.5) / (row[of(a)] + 0.5 * k) * (c[b] + 1) / (into[of(b)] + size[of(b)] + 1) + 0.2 * (c[b] + 1) / (n + v + 1)
+        return [sum(math.log10(p(a, b)) for a, b in zip(f, f[1:])) for f in flow]
+
+    kind = lambda w: w if w in (None, "ha", "hb") else w[0]
+    want, lumped = model(kind, 65), model(lambda w: "x" if kind(w) in ("a", "b") else w, 65)
+    assert sum(want) > sum(lumped) + 1000
+    assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
+
+
 def luhn(s):
     q = [int(c) for c in s if c.isdigit()][::-1]
     return 13 <= len(q) <= 19 and sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(q)) % 10 == 0
