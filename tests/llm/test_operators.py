@@ -248,6 +248,22 @@ def test_mix(docs, rows):
     assert all(abs(taken[s] - target[s]) <= 64 + 0.02 * target[s] for s in names)
 
 
+def test_mix_of_sources_smaller_than_a_slot(spark):
+    size = {"a": 30000, "b": 50, "c": 200, "d": 300, "e": 700, "f": 1030}
+    rows = [(f"{s}{i}", "w " * 10, s) for s, n in size.items() for i in range(n // 10)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    for block in (16, 1024):
+        got = op3_mix.mix(d, block=block).collect()
+        taken, target = collections.Counter(), {r.source: r.target for r in got}
+        for r in got:
+            taken[r.source] += r.taken
+            assert 0 <= r.taken <= 3 * r.size
+        assert taken == {s: math.floor(t + 0.5) for s, t in target.items()} and target["b"] == 150
+        for s in size:
+            times = [r.taken for r in got if r.source == s]
+            assert max(times) - min(times) <= 10
+
+
 def test_knn_odd_vectors(spark):
     rng = np.random.default_rng(2)
     v = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
