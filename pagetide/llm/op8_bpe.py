@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.llm.pieces import cut_pieces
+
 END = "</w>"
 _MARK = "\ue000"
 
@@ -196,7 +198,7 @@ class PieceCache:
                 if (x := self.old.get(w)) is not None:
                     own[w] = x
                     continue
-                root, end = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].lower().isalpha() else (w, "")
+                root, end = (w[:-1], w[-1]) if w and w[-1] in ".," and w[:-1].lower().isalpha() else (w, "")
                 roots[w] = (root.lower() if root.isascii() and root.isalpha() else root, end)
             lack = {root for root, _ in roots.values()}
             known = {r: x for r in lack if (x := self.new.get(r) or own.get(r) or self.old.get(r)) is not None}
@@ -211,16 +213,6 @@ class PieceCache:
         return got
 
 
-_ODD = "\x1c\x1d\x1e\x1f"
-
-
-def cut_pieces(text: str | None) -> list[str]:
-    """Pieces of a text between white space (0x1C-0x1F, which str.split takes for white space, stay inside)."""
-    if not text:
-        return []
-    return [w for w in regex.split(r"\p{White_Space}+", text) if w] if any(c in text for c in _ODD) else text.split()
-
-
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)

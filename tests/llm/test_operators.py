@@ -113,6 +113,44 @@ def test_bpe_and_orc(spark, docs, rows):
     assert op2_orc.read_tokens(spark, out).where("doc_id = 7").first().ids == [*want[7], 2]
 
 
+def test_orc_indexes(spark):
+    """Stripes hold row indexes and a Bloom filter on doc_id, and a look-up reads few rows."""
+    d = documents(spark, "/root/testdata/sf0.01").select("doc_id", "text")
+    twice = d.where("doc_id < 40").select(F.lit(5000).alias("doc_id"), "text")  # one id on many rows
+    out = scratch(spark, "test-index")
+    op2_orc.write_tokens(d.union(twice), out, queries.tokenizer_path())
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(out)
+    files = [f.getPath() for f in where.getFileSystem(conf).listStatus(where) if f.getPath().getName().endswith(".orc")]
+    assert len(files) > 1
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        column = reader.getSchema().findSubtype("doc_id").getId()
+        scan = reader.rows()
+        for stripe in reader.getStripes():
+            kinds = {(s.getKind().toString(), s.getColumn()) for s in scan.readStripeFooter(stripe).getStreamsList()}
+            assert ("ROW_INDEX", column) in kinds and ("BLOOM_FILTER_UTF8", column) in kinds
+        scan.close()
+        reader.close()
+    hit = op2_orc.read_tokens(spark, out).where("doc_id = 77")
+    assert len(hit.collect()) == 1 and "EqualTo(doc_id,77)" in hit._jdf.queryExecution().toString()
+    ids = [r.n_tokens for r in op2_orc.read_tokens(spark, out).where("doc_id = 5000").collect()]
+    assert len(ids) == 40
+
+
+def test_pieces(docs, rows):
+    import pyarrow as pa
+
+    from pagetide.llm import pieces
+
+    texts = [r.text for r in rows] + ["a\x1cb c\u2003d\u0085e  ", None, ""]
+    for some in (texts, texts[:50]):
+        names, number, off = pieces.numbered(pa.array(some))
+        names = names.to_pylist()
+        assert [[names[i] for i in number[a:b] if names[i]] for a, b in zip(off[:-1], off[1:])] == [pieces.cut_pieces(t) for t in some]
+
+
 def test_encoder_on_random_words():
     from tokenizers import Tokenizer
 
