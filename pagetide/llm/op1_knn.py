@@ -1,6 +1,6 @@
 """Exact top-k search by inner product: a Voronoi kNN join.
 
-Vectors become integers, floor(scale * x). Queries and data are grouped by their nearest pivot.
+Vectors become integers, floor(scale * x), when they meet. Queries and data are grouped by their nearest pivot.
 Each data group is summarized by its size, its radius and the distances of the members nearest
 to the pivot, as a histogram; each query group by its size, radius and longest vector. For a query group with centre c,
 radius s and longest vector m, and a data group with pivot p and radius r, no inner product exceeds
@@ -11,10 +11,11 @@ that need a group into others, both of bounded size, so a hot group is many task
 copied to the blocks they need, a data block once for every `block_queries` of them. A pair of
 blocks is solved by one exact matrix product, and the blocks' top k merge by query.
 
-Defined results: vectors that are null or hold a null or non-finite component, or have another length than the
-first, take no part; rows with the query's own id are no candidates; a repeated query id is one query
+Defined results: vectors that are null or hold a null or non-finite component, or have another length than most
+(the shorter of two as frequent), take no part; rows with the query's own id are no candidates; a repeated query id is one query
 (its smallest vector), repeated data rows each count; ties go to the smaller id; fewer candidates than k give
-fewer rows. Products are exact while dimensions * max^2 < 2**53, which is checked.
+fewer rows. Scores are exact for vectors of any size: products that doubles cannot hold exactly are made of whole Python
+numbers. A score beyond a long's range is the end of that range.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ from pyspark.sql import functions as F
 
 from pagetide.llm.shared import cut, grouped, partitions
 
-
-NONE = -(1 << 62)  # below every code, and its negative is a number too
+_LEAST, _MOST = -(1 << 63) + 1, (1 << 63) - 1  # scores; one below _LEAST marks the query's own rows
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -38,20 +38,52 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def _assign(pivots: np.ndarray):
+def _whole(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as whole Python numbers, also where the product leaves the doubles."""
+    one = lambda v: math.floor(scale * v) if math.isfinite(scale * v) else int(v) * int(scale)
+    return np.array([one(v) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def products(q: np.ndarray, x: np.ndarray, scale: float) -> np.ndarray:
+    """Integer inner products of floor(scale * row) for each row of q with each of x, held to [_LEAST, _MOST]."""
+    out = np.zeros((len(q), len(x)), np.int64)
+    bound = math.sqrt(2.0**52 / q.shape[1]) / scale - 1  # below it each partial sum is a whole double
+    far_q, far_x = (np.abs(v).max(axis=1) > bound for v in (q, x))
+    near_q, near_x = np.flatnonzero(~far_q), np.flatnonzero(~far_x)
+    out[np.ix_(near_q, near_x)] = np.rint(np.floor(scale * q[near_q]) @ np.floor(scale * x[near_x]).T).astype(np.int64)
+    for rows, cols in ((np.flatnonzero(far_q), np.arange(len(x))), (near_q, np.flatnonzero(far_x))):
+        if len(rows) and len(cols):
+            exact = _whole(q[rows], scale) @ _whole(x[cols], scale).T
+            out[np.ix_(rows, cols)] = np.minimum(np.maximum(exact, _LEAST), _MOST).astype(np.int64)
+    return out
+
+
+def _assign(pivots: np.ndarray, scale: float):
     dim, half = pivots.shape[1], (pivots**2).sum(axis=1) / 2
 
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            g = np.argmax(x @ pivots.T - half, axis=1)
-            d = np.sqrt(((x - pivots[g]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g.astype(np.int32)), pa.array(d), pa.array(np.sqrt((x**2).sum(axis=1)))], ["vec_id", "v", "g", "d", "len"])
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = scale * _matrix(batch.column(1), dim)
+                g = np.argmax(np.nan_to_num(x @ pivots.T - half, nan=0.0), axis=1)
+                d = np.sqrt(((x - pivots[g]) ** 2).sum(axis=1)) + dim**0.5  # floor moves a vector by that at most
+                size = np.sqrt((x**2).sum(axis=1)) + dim**0.5
+            d, size = np.nan_to_num(d, nan=np.inf, posinf=np.inf), np.nan_to_num(size, nan=np.inf, posinf=np.inf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g.astype(np.int32)), pa.array(d), pa.array(size)], ["vec_id", "v", "g", "d", "len"])
 
     return run
 
 
-def _solve(k: int, dim: int):
+def top(score: np.ndarray, k: int) -> np.ndarray:
+    """Which columns are among each row's k largest; of equal ones the first."""
+    if score.shape[1] <= k:
+        return np.ones(score.shape, bool)
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, -k][:, None]
+    above, equal = score > least, score == least
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1)[:, None]))
+
+
+def _solve(k: int, dim: int, scale: float):
     def run(batches):
         for table in grouped(batches, "key"):
             side = table.column("side").to_numpy()
@@ -60,62 +92,60 @@ def _solve(k: int, dim: int):
             if not len(q) or not len(x):
                 continue
             x = x[np.argsort(ids[x], kind="stable")]
-            n = len(x)
             out = [[], [], []]
             for at in range(0, len(q), 256):
                 rows = q[at : at + 256]
-                score = np.rint(v[rows] @ v[x].T).astype(np.int64)
-                code = score * n + (n - 1 - np.arange(n))  # one number, larger for the smaller id at equal score
-                code[ids[rows][:, None] == ids[x][None, :]] = NONE
-                top = min(k, n)
-                best = np.argpartition(-code, top - 1, axis=1)[:, :top] if top < n else np.tile(np.arange(n), (len(rows), 1))
-                i = np.repeat(np.arange(len(rows)), top)
-                j = best.ravel()
-                ok = code[i, j] != NONE
-                for o, a in zip(out, (ids[rows][i[ok]], ids[x][j[ok]], score[i[ok], j[ok]])):
+                score = products(v[rows], v[x], scale)
+                score[ids[rows][:, None] == ids[x][None, :]] = _LEAST - 1
+                i, j = np.nonzero(top(score, k) & (score >= _LEAST))
+                for o, a in zip(out, (ids[rows][i], ids[x][j], score[i, j])):
                     o.append(a)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, pivots: int = 32, block_rows: int = 4096, block_queries: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row the k rows of vectors with the highest integer inner product."""
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024.0, pivots: int | None = None, block_rows: int = 4096, block_queries: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row the k rows of vectors with the highest integer inner product.
+
+    pivots: how many groups; by default they grow with the root of the rows, from 32 to 512, so what the driver plans is bounded."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
 
     def whole(df: DataFrame) -> DataFrame:
         v = F.col(vec_col).cast("array<double>")
-        fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e300)), F.lit(False)) & (F.size(v) > 0) & F.col(id_col).isNotNull()
-        return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.greatest(F.least(F.floor(F.lit(scale) * x), F.lit(2**31 - 1)), F.lit(-(2**31) + 1)).cast("int")).alias("v"))
+        fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & (F.size(v) > 0) & F.col(id_col).isNotNull()
+        return df.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
     data, asked = whole(vectors), whole(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    # pivots: rows with the smallest hashes, at most `pivots` of them
-    pick = data.select("v", F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(pivots).collect()
-    if not pick:
+    lengths = data.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").head(1)
+    if not lengths:
         return spark.createDataFrame([], schema)
-    dim = len(pick[0].v)
+    dim, n = lengths[0]["dim"], lengths[0]["count"]
+    pivots = pivots or min(512, max(32, math.isqrt(n) // 8))
     data, asked = data.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    centre = np.array([r.v for r in pick if len(r.v) == dim], np.float64)
-    kinds = "vec_id long, v array<int>, g int, d double, len double"
-    data, asked = cut(data.mapInArrow(_assign(centre), kinds)), cut(asked.mapInArrow(_assign(centre), kinds))
+    # pivots: the rows with the smallest hashes, each vector once
+    pick = data.select("v", F.xxhash64("v", "vec_id").alias("h")).orderBy("h").limit(2 * pivots).collect()
+    tame = [v for v in dict.fromkeys(tuple(r.v) for r in pick) if max(map(abs, v)) < 1e100]
+    centre = scale * np.array(tame[:pivots] or [(0.0,) * dim], np.float64)
+    kinds = "vec_id long, v array<double>, g int, d double, len double"
+    data, asked = cut(data.mapInArrow(_assign(centre, scale), kinds)), cut(asked.mapInArrow(_assign(centre, scale), kinds))
     mine = data.groupBy("g").agg(F.count("*").alias("n"), F.max("d").alias("r"), F.max("len").alias("len"))
-    by_bin = data.groupBy("g", F.floor("d").alias("bin")).agg(F.count("*").alias("n"))
+    by_bin = data.where("d < 1e15").groupBy("g", F.floor("d").alias("bin")).agg(F.count("*").alias("n"))
     dg = {r.g: r for r in mine.collect()}
     bins: dict[int, list[tuple[float, int]]] = {}
     ranked = by_bin.withColumn("before", F.sum("n").over(W.partitionBy("g").orderBy("bin")) - F.col("n")).where(F.col("before") <= k)
     for r in ranked.collect():
         bins.setdefault(r.g, []).append((r.bin + 1.0, r.n))
     qg = {r.g: r for r in asked.groupBy("g").agg(F.count("*").alias("n"), F.max("d").alias("s"), F.max("len").alias("len")).collect()}
-    if dg and dim * max([r.len for r in dg.values()] + [r.len for r in qg.values()]) ** 2 >= 2**53:
-        raise ValueError("vectors are too long for exact products")
     norm = np.sqrt((centre**2).sum(axis=1))
     pairs = []
     for h, q in sorted(qg.items()):
         sure: list[tuple[float, int]] = []
+        slack = lambda g: 1e-9 * (1 + norm[h] * norm[g] + q.s * norm[g] + q.len * (dg[g].r + norm[g]))  # noqa: E731, B023  rounding of the bounds
         for g in dg:
-            mid = float(centre[h] @ centre[g]) - q.s * norm[g]
-            sure += [(mid - q.len * d, n) for d, n in bins.get(g, [])]
+            mid = float(centre[h] @ centre[g]) - q.s * norm[g] - slack(g)
+            sure += [(mid - q.len * d, n) for d, n in bins.get(g, []) if math.isfinite(mid - q.len * d)]
         need, floor = k + 1, -math.inf
         for low, n in sorted(sure, reverse=True):
             need -= n
@@ -123,7 +153,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024
                 floor = low
                 break
         for g, x in sorted(dg.items()):
-            if float(centre[h] @ centre[g]) + q.s * norm[g] + q.len * x.r >= floor - 1e-6:
+            if not float(centre[h] @ centre[g]) + q.s * norm[g] + q.len * x.r + slack(g) < floor:  # a bound that is no number prunes nothing
                 pairs.append((h, g))
     if not pairs:
         return spark.createDataFrame([], schema)
@@ -131,11 +161,13 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: float = 1024
     plan = spark.createDataFrame([(h, g, math.ceil(wanted[g] / block_queries), math.ceil(dg[g].n / block_rows)) for h, g in pairs], "h int, g int, qn int, dn int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pos = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    own = F.pmod(F.xxhash64("vec_id", "nth"), F.col("dn")).cast("int")  # rows of one id lie in many blocks
+    data = data.withColumn("nth", F.monotonically_increasing_id())  # of checkpointed rows, so the same again
     # plan has at most pivots^2 rows
     left = asked.withColumnRenamed("g", "h").join(F.broadcast(plan), "h").select("vec_id", "v", "g", pos("qn").alias("qb"), each("dn").alias("db"), F.lit(0).alias("side"))
-    right = data.join(F.broadcast(plan.select("g", "qn", "dn").distinct()), "g").select("vec_id", "v", "g", each("qn").alias("qb"), pos("dn").alias("db"), F.lit(1).alias("side"))
+    right = data.join(F.broadcast(plan.select("g", "qn", "dn").distinct()), "g").select("vec_id", "v", "g", each("qn").alias("qb"), own.alias("db"), F.lit(1).alias("side"))
     count = partitions(spark)
     tasks = left.union(right).withColumn("key", F.xxhash64("g", "qb", "db")).select("key", "side", "vec_id", "v")
-    local = tasks.repartition(count, "key").sortWithinPartitions("key").mapInArrow(_solve(k, dim), "query_id long, vec_id long, score long")
+    local = tasks.repartition(count, "key").sortWithinPartitions("key").mapInArrow(_solve(k, dim, scale), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
