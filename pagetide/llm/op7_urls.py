@@ -1,18 +1,19 @@
 """URL filters: a blocked Bloom filter passes possible hits to an exact hash join.
 
 The list holds canonical URLs: a host (lower case) and a path. An entry covers its host with all
-subdomains, and all paths that start with its path; a listed path ends in "/" or is a whole path.
-A page's URL is put in canonical form and spelled out as every (host suffix, path prefix) key that
-could be listed; keys the filter rules out are dropped at once, the rest meet the list in an exact
-join, which removes the false positives. The longest entry wins; unlisted pages get the default.
+subdomains, and all paths that start with its path. A page's URL is put in canonical form. Each suffix of its
+host at a dot passes a filter of the listed hosts; with those that may be listed, each prefix of the path that is as long
+as some listed path passes a filter of the listed keys. Hashes of suffixes and prefixes are differences of running sums, so this is linear
+in the URL. What passes meets the list in an exact join, which removes the false positives. The longest entry wins;
+unlisted pages get the default.
 
-The filter is made of 256-bit blocks, eight bits a key, and never exceeds `most_bytes`, so what is
+Each filter is made of 256-bit blocks, eight bits a key, and never exceeds `most_bytes`, so what is
 sent to the workers is bounded whatever the list's size; a list too long for that only raises the
 share of keys that reach the join. The list itself is never broadcast by force.
 
 Defined results: a null URL or one without "://" has empty host and path and matches nothing;
 repeated URLs are looked up once and every row gets the answer; an entry listed twice counts once,
-block before allow.
+block before allow; an entry with an empty host covers nothing.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagetide.llm import bytewords as bw
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PROBES = 8
 
@@ -48,38 +51,84 @@ def bits(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block, mask
 
 
-def _key_masks(blocks: int):
+class Running:
+    """64-bit hashes of any stretch of some bytes."""
+
+    def __init__(self, text: str):
+        self.data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        self.upto = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(bw._TABLE[self.data] * bw._powers(bw._ROOT, len(self.data)), out=self.upto[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return bw.mix((self.upto[b] - self.upto[a]) * bw._powers(bw._INVERSE, len(self.upto))[a] + (b - a).astype(np.uint64))
+
+
+def _key(host: np.ndarray, path: np.ndarray) -> np.ndarray:
+    return bw.mix(host * np.uint64(0xD6E8FEB86659FD93) + path)
+
+
+def _whole(text: str) -> np.ndarray:
+    r = Running(text)
+    return r.of(np.zeros(1, np.int64), np.array([len(r.data)]))
+
+
+def _key_masks(blocks: int, with_path: bool):
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                block, mask = bits(batch.column(0).to_numpy().view(np.uint64), blocks)
+                hosts, paths = (batch.column(i).to_pylist() for i in (0, 1))
+                h = np.concatenate([_whole(v) for v in hosts])
+                h = _key(h, np.concatenate([_whole(v) for v in paths])) if with_path else h
+                block, mask = bits(h, blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(np.ascontiguousarray(mask[:, i]).view(np.int64)) for i in range(4))], ["block", "w0", "w1", "w2", "w3"])
 
     return run
 
 
-def bloom(keys: DataFrame, count: int, most_bytes: int = 8 << 20) -> np.ndarray:
-    """Blocks x 4 words, from the 64-bit hashes in keys' only column; about 16 bits a key, most_bytes at most."""
+def bloom(listed: DataFrame, with_path: bool, count: int, most_bytes: int = 8 << 20) -> np.ndarray:
+    """Blocks x 4 words, from listed (host, path); about 16 bits a key, most_bytes at most."""
     blocks = max(1, min(most_bytes // 32, count // 16 + 1))
-    got = keys.mapInArrow(_key_masks(blocks), "block long, w0 long, w1 long, w2 long, w3 long").groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4))).toArrow()
+    got = listed.mapInArrow(_key_masks(blocks, with_path), "block long, w0 long, w1 long, w2 long, w3 long").groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4))).toArrow()
     table = np.zeros((blocks, 4), np.uint64)
     for i in range(4):
         table[got.column("block").to_numpy(), i] = got.column(f"w{i}").to_numpy().view(np.uint64)
     return table
 
 
-def _possible(table: np.ndarray):
+def _in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    block, mask = bits(h, len(table))
+    return ((table[block] & mask) == mask).all(axis=1)
+
+
+def _possible(hosts: np.ndarray, keys: np.ndarray, lengths: np.ndarray):
+    """(url, host, path) of every suffix and prefix that the filters let through. lengths: bytes of listed paths, ascending."""
+
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(1)
-            off = keys.offsets.to_numpy()
-            block, mask = bits(keys.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64), len(table))
-            hit = ((table[block] & mask) == mask).all(axis=1)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(off))[hit]
-            nth = (np.arange(len(hit)) - np.repeat(off[:-1] - off[0], np.diff(off)))[hit]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(nth.astype(np.int32))], ["url", "nth"])
+            urls, names, paths = (batch.column(i).to_pylist() for i in range(3))
+            starts, found = [], []
+            for name in names:
+                r = Running(name)
+                at = np.concatenate(([0], np.flatnonzero(r.data == 46) + 1))
+                at = at[at < len(r.data)]
+                starts.append(at)
+                found.append(r.of(at, np.full(len(at), len(r.data))))
+            ok = _in(hosts, np.concatenate(found)) if found else np.empty(0, bool)
+            row = np.repeat(np.arange(len(names)), [len(x) for x in starts])
+            out = [[], [], []]
+            for i in np.unique(row[ok]):
+                mine = row == i if len(names) == 1 else slice(*np.searchsorted(row, [i, i + 1]))
+                at, h = starts[i][ok[mine]], found[i][ok[mine]]
+                r = Running(paths[i])
+                n = lengths[: np.searchsorted(lengths, len(r.data), "right")]
+                p = r.of(np.zeros(len(n), np.int64), n)
+                a, b = np.nonzero(_in(keys, _key(np.repeat(h, len(n)), np.tile(p, len(h)))).reshape(len(h), len(n))) if len(n) else ((), ())
+                for x, y in zip(a, b):
+                    host = names[i].encode("utf-8", "surrogatepass")[at[x] :].decode("utf-8", "replace")
+                    out[0].append(urls[i])
+                    out[1].append(host)
+                    out[2].append(r.data[: n[y]].tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in out], ["url", "host", "path"])
 
     return run
 
@@ -87,24 +136,20 @@ def _possible(table: np.ndarray):
 def url_verdicts(pages: DataFrame, listed: DataFrame, default: str = "allow", url_col: str = "url", most_bytes: int = 8 << 20) -> DataFrame:
     """pages with host, path, rule (host and path of the longest entry, or null) and verdict. listed: host, path, verdict."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    listed = listed.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).where("host is not null and path is not null")
-    hashed = listed.select(F.xxhash64("host", "path").alias("h"))
-    table = bloom(hashed, hashed.count(), most_bytes)
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct()
+    listed = listed.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).where("host <> '' and path is not null")
+    spelled = listed.select("host", "path")
+    count = spelled.count()
+    lengths = [r[0] for r in spelled.select(F.octet_length("path")).distinct().collect()]  # at most as many as the longest listed path has bytes
+    hosts, keys = (bloom(spelled, with_path, count, most_bytes) for with_path in (False, True))
     host, path = canonical(F.col("url"))
+    urls = pages.select(F.col(url_col).alias("url")).where(F.instr("url", "://") > 0).distinct()
     parts = urls.select("url", host.alias("host"), path.alias("path")).where("host <> ''")
-    # every suffix of the host at a dot, and every prefix of the path at a slash, and the path itself
-    labels = F.split("host", "\\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    steps = F.split("path", "/")
-    paths = F.array_distinct(F.concat(F.array("path"), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.when(i < F.size(steps), F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/"))).otherwise(F.col("path")))))
-    keys = parts.select("url", F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("host"), p.alias("path"))))).alias("keys"))
-    hits = keys.select("url", F.transform("keys", lambda k: F.xxhash64(k["host"], k["path"])).alias("hashes")).mapInArrow(_possible(table), "url string, nth int")
-    # the few possible hits are spelled out again from their own URL
-    spelled = hits.select("url", "nth", host.alias("host"), path.alias("path")).select("url", F.element_at(F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(h.alias("host"), p.alias("path"))))), F.col("nth") + 1).alias("k"))
-    found = spelled.select("url", F.col("k.host").alias("host"), F.col("k.path").alias("path")).join(listed, ["host", "path"])
+    hits = parts.mapInArrow(_possible(hosts, keys, np.sort(np.array(lengths, np.int64))), "url string, host string, path string")
+    found = hits.join(listed, ["host", "path"])
     best = found.groupBy("url").agg(F.max_by(F.struct(F.concat("host", "path").alias("rule"), "verdict"), F.struct(F.length(F.concat("host", "path")), F.length("path"))).alias("best"))
-    own = pages.select(*kept, F.col(url_col).alias("__url")).join(best.withColumnRenamed("url", "__url"), "__url", "left")
-    host, path = canonical(F.col("url"))
-    out = own.withColumnRenamed("__url", "url") if url_col != "url" and "url" not in kept else own.drop("url").withColumnRenamed("__url", "url")
-    return out.select(*[c for c in kept], host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # rows that can have no rule get keys of their own, so that they are not one hot key; a hot URL is left to the skew join
+    alone = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    own = pages.select(*kept, F.col(url_col).alias("__url")).withColumn("__key", F.when(F.instr("__url", "://") > 0, F.col("__url")).otherwise(alone))
+    own = own.join(best.withColumnRenamed("url", "__key"), "__key", "left")
+    host, path = canonical(F.col("__url"))
+    return own.select(*(F.col(c) for c in kept), host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
