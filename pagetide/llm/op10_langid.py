@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagetide.llm import bytewords as bw
+from pagetide.llm.shared import cut
 
 BITS = 12
 #: Language families by code; a code that is not listed is a family of its own.
@@ -133,20 +134,24 @@ def _vectors(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in features(part.column(1)).astype(np.float16)], pa.binary())], ["lang", "v"])
 
 
-def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_per_lang: int = 300, most_langs: int = 256) -> Tree | None:
-    """A tree from at most sample_per_lang whole documents of each language: those with the smallest hash of their id."""
+def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample_per_lang: int = 300, sample_rows: int = 20_000) -> Tree | None:
+    """A tree from whole documents of every language: those with the smallest hash of their id, at most sample_per_lang
+    a language and sample_rows in all (an error if that leaves a language fewer than 8), which bounds what the driver fits on."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
     key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit("langid")))
     # sample by rate first, so the window below sees a bounded number of rows however large a language is
-    langs = rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(most_langs).collect()
-    if not langs:
+    langs = rows.groupBy(F.col(lang_col).alias("__l")).agg(F.count("*").alias("__n"))
+    langs = cut(langs)
+    distinct = langs.count()
+    if not distinct:
         return None
-    rate = F.lit(None)
-    for r in langs:
-        rate = F.when(F.col(lang_col) == r["l"], F.lit(min(1.0, 1.5 * sample_per_lang / r["count"] + 20 / r["count"]))).otherwise(rate)
+    if distinct * 8 > sample_rows:
+        raise ValueError(f"{distinct} languages need a sample_rows of at least {8 * distinct}")
+    each = min(sample_per_lang, sample_rows // distinct)
+    rate = F.least(F.lit(1.0), (1.5 * each + 20) / F.col("__n"))
     u = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2.0**32
-    keys = rows.where(u <= rate).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("k"))
-    pick = keys.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("k", "text"))).where(F.col("rn") <= sample_per_lang)
+    keys = rows.join(F.broadcast(langs), F.col(lang_col) == F.col("__l")).where(u <= rate).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("k"))  # sample_rows / 8 rows at most
+    pick = keys.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("k", "text"))).where(F.col("rn") <= each)
     got = pick.orderBy("lang", "k", "text").select("lang", "text").mapInArrow(_vectors, "lang string, v binary").collect()
     return Tree(np.array([np.frombuffer(r.v, np.float16) for r in got], np.float32), [r.lang for r in got])
 
