@@ -46,7 +46,7 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = op6_pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     count = [F.size(F.expr(f"filter(pii, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in op6_pii.BASE]
     base = F.filter("pii", lambda s: s["kind"].isin(*op6_pii.BASE))
-    return x.select("doc_id", *count, F.sha2(op6_pii.span_text(base).cast("binary"), 256).alias("base_sha256"), op6_pii.span_text(F.col("pii")).alias("spans"))
+    return x.select("doc_id", *count, F.sha2(op6_pii.span_text(base).cast("binary"), 256).alias("base_sha256"), op6_pii.span_text(F.col("pii")).alias("spans"), op6_pii.score_text(F.col("pii")).alias("scores"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,6 +314,32 @@ def test_knn_odd_vectors(spark):
     assert op1_knn.knn(d.limit(0), d).count() == 0 and op1_knn.knn(d.limit(2), d.where("vec_id = 0")).count() <= 2
 
 
+def test_knn_large_vectors(spark):
+    """Exact where doubles are not: one dimension, large components, one id on very many rows, scores beyond a long."""
+    def run(rows, **options):
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        return [tuple(r) for r in op1_knn.knn(d, d.where("vec_id % 100 = 0"), **options).orderBy("query_id", "rank").collect()]
+
+    def want(rows, k=10):
+        m = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+        out = []
+        for q, a in sorted(dict(m).items()):
+            if q % 100 == 0:
+                hit = sorted((-max(min(sum(x * y for x, y in zip(a, b)), (1 << 63) - 1), 1 - (1 << 63)), i) for i, b in m if i != q)[:k]
+                out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(hit)]
+        return out
+
+    line = [(i, [float(2**20 - i)]) for i in range(600)]
+    assert run(line, k=3) == want(line, 3)
+    rng = np.random.default_rng(9)
+    far = [(i, [float(x) for x in rng.normal(size=4) * s]) for i, s in enumerate([1.0, 1e5, 1e7, 1e30, 1e-3, 1e200] * 60)]
+    assert run(far) == want(far)
+    hot = [(7, [1.0, float(i % 50)]) for i in range(10_000)] + [(i, [0.5, float(i)]) for i in range(0, 300, 10)]
+    assert run(hot, block_rows=500) == want(hot)
+    mixed = [(1, [1.0]), *((i, [float(i), 1.0]) for i in range(2, 202))]  # one odd length
+    assert run(mixed) == want(mixed[1:])
+
+
 def test_urls(spark):
     rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
     urls = [None, "", "no scheme", "http://a.net", "http://a.NET/", "https://x.example.net/en/1", "https://example.net/english", "http://ORG/fr/?q", "http://borg/fr/", "ftp://net/#x", "http://e.com://x/de/", "http://example.com/de/"]
@@ -325,6 +351,83 @@ def test_urls(spark):
     assert op7_urls.url_verdicts(p, rules.limit(0)).where("verdict <> 'allow'").count() == 0
 
 
+def test_urls_against_brute_force(spark):
+    """Paths that end anywhere, empty and long ones, hosts with many labels, and an empty table."""
+    rng = np.random.default_rng(4)
+    labels, steps = ["a", "b", "com", "net", "x-y"], ["", "a", "ab", "abc", "é", "z"]
+    host = lambda n: ".".join(rng.choice(labels, rng.integers(1, n)))
+    path = lambda n: "".join("/" + rng.choice(steps) for _ in range(rng.integers(0, n)))
+    rules = {(host(4), path(4)): str(rng.choice(["block", "allow"])) for _ in range(60)}
+    rules |= {("a.com", "/ab"): "block", ("", "/"): "block"}
+    urls = [f"http://{host(6)}{path(6)}" for _ in range(800)] + ["http://a.com/abc/d", "http://" + "b." * 3000 + "com" + "/a" * 20000, "http://", None]
+    p = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, verdict string")
+    for r in op7_urls.url_verdicts(p, listed).collect():
+        fit = [(len(h + q), len(q), h + q, v) for (h, q), v in rules.items() if h and (r.host == h or r.host.endswith("." + h)) and r.path.startswith(q)]
+        assert (r.rule, r.verdict) == (max(fit)[2:] if fit else (None, "allow"))
+    assert op7_urls.url_verdicts(p.limit(0), listed).count() == 0
+
+
+def test_pii_added_kinds_and_context(spark):
+    texts = [
+        "IBAN DE89370400440532013000 BIC COBADEFFXXX", "GB82WEST12345698765432 5 days", "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", "DE89370400440532013001",
+        "the key is " + "ab12" * 100, "a" * 40, "078-05-1120 is my social security number", "078-05-1120", "sample ssn 078-05-1120",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("pii", F.lit("clash"))
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.pii] for r in op6_pii.find_pii(d).collect()}
+    iban = lambda *v: [("iban", x) for x in v]
+    assert got[0] == iban("DE89370400440532013000") and got[1] == iban("GB82WEST12345698765432") and got[3] == []
+    assert got[2] == iban("DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32")
+    assert got[4] == [("secret", "ab12" * 100)] and got[5] == [] and got[6] == [("ssn", "078-05-1120")] and got[7] == got[8] == []
+
+
+def test_langid_parts():
+    import itertools
+
+    import pyarrow as pa
+
+    texts = ["", "Ab, cd", "über Straße 12", None, "x" * 10]
+    got = op10_langid.features(pa.array(texts))
+    for t, row in zip(texts, got):
+        b = [32, *(op10_langid._BYTE[c] for c in (t or "").encode())]
+        n = np.zeros(1 << op10_langid.BITS)
+        for x, y, z in zip(b, b[1:], b[2:]):
+            if not x == y == 32:
+                n[((int(x) | int(y) << 8 | int(z) << 16) * 2654435761 % 2**32) >> (32 - op10_langid.BITS)] += 1
+        n = np.sqrt(n)
+        assert np.allclose(row, n / max(np.linalg.norm(n), 1e-9), atol=1e-6)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    w = op10_langid.svm(x, y, rounds=3000)
+    side = {v: 0.5 * 60 / (y == v).sum() for v in (1.0, -1.0)}
+    cost = lambda w: w @ w / 2 + 10 * sum(side[b] * max(0.0, 1 - b * (a @ w[:-1] + w[-1])) ** 2 for a, b in zip(x, y))
+    best = cost(w.astype(float))
+    assert all(cost(w + d) >= best - 1e-3 for d in rng.normal(size=(300, 6)) * 0.02)
+    tree = op10_langid.Tree(np.eye(5, dtype=np.float32)[[0, 0, 1, 1, 2, 2, 3, 3]] + rng.normal(size=(8, 5)).astype(np.float32) * 0.2, ["a", "a", "b", "b", "c", "c", "d", "d"])
+    names, pairs, ws = tree.levels[""]
+    some = rng.normal(size=(50, 5)).astype(np.float32)
+    best, _ = tree.choose("", some)
+    for v, got in zip(some, best):
+        won, total = [0] * 4, [0.0] * 4
+        for (i, j), m in zip(itertools.combinations(range(4), 2), ws[:, :-1] @ v + ws[:, -1]):
+            won[i if m >= 0 else j] += 1
+            total[i] += m
+            total[j] -= m
+        assert got == max(range(4), key=lambda i: (won[i], total[i], -i))
+
+
+def test_langid_counts_of_languages(spark):
+    rows = [(i, f"wort{i % 7} " * 5 + chr(97 + i % 20) * 9, f"l{i % 20}") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tree = op10_langid.fit(d)
+    assert len(tree.levels[""][0]) == 20
+    one = op10_langid.fit(d.where("lang = 'l3'"))
+    assert {(r.lang_pred, r.score) for r in op10_langid.predict(d, one).collect()} == {("l3", 1.0)}
+    with pytest.raises(ValueError):
+        op10_langid.fit(d, sample_rows=100)
+
+
 def test_langid(spark, docs):
     d = documents(spark, "/root/testdata/sf0.01")
     tree = op10_langid.fit(d.where(~op10_langid.held_out()), sample_per_lang=100)
