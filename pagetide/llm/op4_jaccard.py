@@ -3,21 +3,22 @@
 A document is the set of its distinct word shingles. Shingles are hashed to 64 bits and the hash
 range is cut into m equal segments, m set by the size band of the smaller set. Two sets that reach
 the threshold differ in at most H shingles, so if a set has weight over H on its segments (one for a
-segment compared as it is, two for a designated segment that is also compared under every
+segment that is not empty, two for a designated segment of two shingles or more, which is also compared under every
 one-shingle deletion), some weighted segment must agree within its weight. m and the number of
 designated segments are chosen per band for the fewest index rows, with the chance that a random
-set lacks the weight (too many empty segments) below 1e-10; sets that do lack it are compared with
-every document in blocks, so no link is ever lost.
+set lacks the weight (too many empty segments; a Chernoff bound) below 1e-10; sets that do lack it are compared with
+every document in blocks, so no link is ever lost. Bands of small sets are indexed whole instead: each set under
+all deletions of as many shingles as a linked set may lack, which needs no chance at all.
 
 Equal sets collapse to one representative (within a batch before anything is sent, so a set that a
 third of all rows repeat gives one entry a batch). Signatures travel as packed arrays, 40 bits each
 beside their fine partition; a clash only adds a candidate. Of the sets with one signature the
 smallest id is the lead, tied to each of the others. All pairs that share a signature lie within
 some lead's neighbourhood (the lead and all tied to it), so comparing inside neighbourhoods misses
-nothing, and their sizes add up to the ties, which are linear in the signatures. A neighbourhood is
-compared in blocks on the real shingle strings, pairs of blocks in tasks of their own, with the
-size bound and a parity sketch (a lower bound of the difference) before it and a union-find that
-skips pairs already connected.
+nothing, and their sizes add up to the ties, which are linear in the signatures. A small neighbourhood is
+compared in one task on the real shingle strings, with the size bound and a parity sketch (a lower bound of the difference) before it
+and a union-find that skips pairs already connected. Of a large one, the lead is compared with all first, in blocks; only those
+that do not link with it are then compared with the others, block by block, so a large group of copies of one text costs its size.
 
 Defined results: null or blank text has no shingles and links with nothing; text with fewer words
 than a shingle has its whole word sequence as its one shingle; rows with a null id have a null
@@ -28,6 +29,7 @@ a row.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -62,28 +64,44 @@ class Scheme:
         least = -(-self.num * (a + b) // (self.num + self.den))
         return a + b - 2 * least
 
+    def deletions(self, n: int) -> int:
+        """The most members of a set of n that a linked set may lack."""
+        return n - -(-self.num * n // self.den)
+
     @lru_cache(maxsize=4096)
     def plan(self, band: int) -> tuple[int, int, int, np.ndarray, int]:
-        """(H, segments, designated, inner boundaries, tag) for pairs whose smaller set is in this band."""
+        """(H, segments, designated, inner boundaries, tag) for pairs whose smaller set is in this band; no segments: indexed whole."""
         s = int(self.low[band + 1]) - 1
         h = max(self.most_difference(s, r) for r in range(max(s, s * self.den // self.num - 40), s * self.den // self.num + 1))
         small, best = int(self.low[band]), None
-        if h > 0:
-            for m in range(max(2, (h + 2) // 2), h + 14 + h // 3):
-                for d in {0, 1, 2, m} if m > 2 else {0, m}:
-                    z = -1
-                    while z + 1 < m and (m - z - 1) + max(0, d - z - 1) >= h + 1:
-                        z += 1
-                    if z < 0:
-                        continue
-                    t = z + 1
-                    log_p = -math.inf if t >= m else math.lgamma(m + 1) - math.lgamma(t + 1) - math.lgamma(m - t + 1) + small * math.log1p(-t / m)
-                    if log_p <= math.log(1e-10) and (best is None or m + d * small / m < best[0]):
-                        best = (m + d * small / m, m, d)
-            best = best or (0, h + 1, h + 1)
-        _, m, d = best or (0, 0, 0)
-        inner = np.array([(i << 64) // m for i in range(1, m)], dtype=_U) if m else np.empty(0, _U)
-        return h, m, d, inner, (band * 0x9E3779B97F4A7C15 + 0x1234567) & ((1 << 64) - 1)
+        largest = s * self.den // self.num
+        tag = (band * 0x9E3779B97F4A7C15 + 0x1234567) & ((1 << 64) - 1)
+        if not h or sum(math.comb(largest, i) for i in range(self.deletions(largest) + 1)) <= _MOST_WHOLE:
+            return h, 0, 0, np.empty(0, _U), tag
+        for m in [*range(max(2, (h + 2) // 2), h + 14 + h // 3), *(x for x in (32, 48, 64, 96, 128, 256) if x > h + 14 + h // 3)]:
+            for d in {0, 1, 2, m} if m > 2 else {0, m}:
+                rows = min(m, small) + d * small / m
+                if (best is None or rows < best[0]) and lacks(small, m, d, h) <= math.log(1e-10):
+                    best = (rows, m, d)
+        _, m, d = best or (0, 4 * (h + 1), 0)
+        return h, m, d, np.array([(i << 64) // m for i in range(1, m)], dtype=_U), tag
+
+
+#: The most signatures of a set that is indexed whole under its deletions.
+_MOST_WHOLE = 110
+
+
+def lacks(n: int, m: int, d: int, h: int) -> float:
+    """Log of a bound on the chance that n random hashes give m segments, d of them designated, a weight of h or less."""
+    if m + d <= h:
+        return 0.0
+    rate = n / m  # as Poisson counts, which given their sum are the multinomial ones
+    none, one = math.exp(-rate), rate * math.exp(-rate)
+    best = 0.0
+    for t in (0.25 * i for i in range(1, 121)):
+        e = math.exp(-t)
+        best = min(best, t * h + (m - d) * math.log(none + (1 - none) * e) + d * math.log(none + one * e + max(0.0, 1 - none - one) * e * e))
+    return min(0.0, best + 1 + math.log(n) / 2)
 
 
 @lru_cache(maxsize=8)
@@ -104,9 +122,16 @@ def signatures(s: np.ndarray, sch: Scheme) -> tuple[np.ndarray, bool]:
         h, m, d, inner, tag = sch.plan(band)
         if not h:
             continue
+        if not m:
+            left = np.array([running[-1]], _U)
+            out.append(bw.mix(left ^ bw.mix(np.array([tag], _U))))
+            for gone in range(1, sch.deletions(len(s)) + 1):
+                pick = np.array(list(itertools.combinations(range(len(s)), gone)))
+                out.append(bw.mix((running[-1] - mixed[pick].sum(axis=1, dtype=_U)) ^ bw.mix(np.array([tag], _U))))
+            continue
         cuts = np.concatenate(([0], np.searchsorted(s, inner), [len(s)]))
         full = cuts[1:] > cuts[:-1]
-        short |= int(full.sum() + full[:d].sum()) < h + 1
+        short |= int(full.sum() + (np.diff(cuts[: d + 1]) > 1).sum()) < h + 1
         tags = bw.mix(np.arange(m, dtype=_U) + _U(tag))
         sums = running[cuts[1:]] - running[cuts[:-1]]
         out.append(bw.mix(sums[full] ^ tags[full]))
@@ -336,7 +361,7 @@ def _hashes(words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 200_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 200_000, block_rows: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links of Jaccard >= num/den."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -346,35 +371,55 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     full = rows.where("doc_id is not null and n_shingles > 0")
     classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
     rep_of = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep", "n"))
-    count = partitions(spark)
-    packed = texts.where("doc_id is not null").mapInArrow(_pack(words, num, den, 8 * count), "p int, sig binary, node binary")
+    # slices and tasks grow with the input
+    total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    count, fine = max(partitions(spark), total // 30_000_000), max(8 * partitions(spark), total // 4_000_000)
+    packed = texts.where("doc_id is not null").mapInArrow(_pack(words, num, den, fine), "p int, sig binary, node binary")
     raw = cut(packed.repartition(count, "p").sortWithinPartitions("p").mapInArrow(_reduce, "a long, b long"))
     # ties between documents become ties between representatives
     ties = raw.where("a <> b").join(rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("lead"), F.col("n").alias("lead_n")), "a").join(rep_of.select(F.col("doc_id").alias("b"), F.col("rep").alias("node"), "n"), "b")
     both = F.array(F.struct("lead", F.col("lead").alias("node"), F.col("lead_n").alias("n")), F.struct("lead", "node", "n"))
     candidates = cut(ties.where("lead <> node").select(F.explode(both).alias("m")).select("m.*").distinct())
-    blocks = candidates.groupBy("lead").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    blocks = cut(blocks.where("blocks > 1"))  # large neighbourhoods alone; few, or else joined by shuffle
-    blocks = F.broadcast(blocks) if blocks.count() <= 20_000 else blocks
-    # a node goes to each pair of blocks its own takes part in; neighbourhoods of one block share a task by hash
-    spread = candidates.join(blocks, "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = spread.select("node", F.col("lead").alias("comp"), "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select(
-        "node", "comp",
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(1 << 20))).otherwise(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other"))).alias("key"),
-    )
-    found = spread.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").repartition(count, "key").sortWithinPartitions("key").mapInArrow(_verify(words, num, den), "a long, b long")
+    blocks_of = lambda df: df.groupBy("lead").agg(F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.count("*") / block_rows)).cast("int").alias("blocks"))
+    few = lambda df: F.broadcast(df) if df.count() <= 20_000 else df  # noqa: E731  counted; or else joined by shuffle
+    large = cut(blocks_of(candidates).where("blocks > 1"))
+    marked = candidates.join(few(large), "lead", "left")
+    # small neighbourhoods: some of them to a key, and as many keys as keep that so
+    keys = candidates.count() // 64 + 1
+    small = marked.where("blocks is null").select("node", F.col("lead").alias("comp"), F.lit(2).alias("side"), F.pmod(F.xxhash64("lead"), F.lit(keys)).alias("key"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # large ones: the lead (side 0) with every block of the others (side 1)
+    big = marked.where("blocks is not null")
+    star = big.where("node <> lead").select("node", "lead", F.lit(1).alias("side"), block("node", "blocks").alias("b")).union(big.where("node = lead").select("node", "lead", F.lit(0), each("blocks")))
+    star = star.select("node", F.col("lead").alias("comp"), "side", F.xxhash64("lead", "b").alias("key"))
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        whole = dealt.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").repartition(count, "key").sortWithinPartitions("key")
+        return whole.mapInArrow(_verify(words, num, den), "a long, b long")
+
+    found = cut(compared(small.union(star)))
+    if large.head(1):
+        linked = found.select(F.col("a").alias("lead"), F.col("b").alias("node")).union(found.select("b", "a")).join(few(large.select("lead")), "lead")
+        others = big.where("node <> lead")
+        apart = others.join(linked, ["lead", "node"], "left_anti").select("lead", "node", "n")
+        rest = cut(apart)
+        if rest.head(1):
+            # those the lead does not link (side 0) with every block of all (side 1)
+            size = cut(blocks_of(rest).withColumnRenamed("blocks", "parts").join(few(large), "lead"))
+            left = rest.join(few(size), "lead").select("node", "lead", F.lit(0).alias("side"), block("node", "parts").alias("x"), each("blocks").alias("y"))
+            right = others.select("node", "lead").join(few(size), "lead").select("node", "lead", F.lit(1).alias("side"), each("parts").alias("x"), block("node", "blocks").alias("y"))
+            found = found.union(compared(left.union(right).select("node", F.col("lead").alias("comp"), "side", F.xxhash64("lead", "x", "y").alias("key"))))
     lacking = None
     if raw.where("a = b").head(1):
         lacking = raw.where("a = b").join(rep_of.select(F.col("doc_id").alias("a"), "rep"), "a").select(F.col("rep").alias("doc_id")).distinct()
-    block: list[tuple[int, bytes]] = []
+    held: list[tuple[int, bytes]] = []
     for row in texts.join(lacking, "doc_id").mapInArrow(_hashes(words), "node long, hashes binary").toLocalIterator() if lacking else ():
-        block.append((row.node, bytes(row.hashes)))
-        if len(block) == 64:
-            found, block = found.union(texts.where("doc_id is not null").mapInArrow(_scan(words, num, den, block), "a long, b long")), []
-    if block:
-        found = found.union(texts.where("doc_id is not null").mapInArrow(_scan(words, num, den, block), "a long, b long"))
+        held.append((row.node, bytes(row.hashes)))
+        if len(held) == 64:
+            found, held = found.union(texts.where("doc_id is not null").mapInArrow(_scan(words, num, den, held), "a long, b long")), []
+    if held:
+        found = found.union(texts.where("doc_id is not null").mapInArrow(_scan(words, num, den, held), "a long, b long"))
     # an id with several texts ties their classes together
     several = rows.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     tied = rows.join(several, "doc_id").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

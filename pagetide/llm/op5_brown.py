@@ -18,7 +18,7 @@ numbers by class are collected. A word unseen in training goes where most words
 
 Score. P(w | previous) = mix * P(class | previous class) * P(w | class) + (1 - mix) * P_unigram(w),
 transitions with add-one-half, emissions with add-one and one unseen word a class, the unigram with
-add-one: each factor sums to one, so the score is a proper log probability. Perplexity is
+add-one: each factor sums to one at most (a class no unseen word goes to still keeps room for one), so the score is a log probability. Perplexity is
 10 ** (-score / n_tokens).
 
 Defined results: null counts as empty, which is the end token alone; no training documents leaves
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagetide.llm import bytewords as bw
-from pagetide.llm.shared import grouped, partitions, scratch, small_batches
+from pagetide.llm.shared import grouped, partitions, remove, scratch, small_batches
 
 _U = np.uint64
 END = _U(0xFFFFFFFFFFFFFFFF)  # the hash of the end token
@@ -377,11 +377,6 @@ def _score(model: Model):
     return run
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def _written(df: DataFrame, name: str, schema: str) -> tuple[DataFrame, str]:
     """df, written to the shared folder and read again; the shuffles of the write leave the disk when it ends."""
     spark, option = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -454,7 +449,7 @@ def brown_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
         if better and step < passes:
             kept = "chunk long, part int, classes binary, members binary, once binary"
             told, _ = _written(found.where("p >= 0").repartition(count, "p").sortWithinPartitions("p").mapInArrow(_assigned(n), kept), "brown-classes", kept)
-        _remove(spark, path)
+        remove(spark, path)
         if not better or step == passes:
             break
         facts = told.where("chunk < 0").select("members", "once").collect()

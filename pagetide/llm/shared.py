@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,16 +12,28 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where none is set."""
+    """The folder all executors share. Where none is set: a temporary one in local mode, which goes at exit, else one in the warehouse."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
-        got = os.path.join(tempfile.gettempdir(), f"pagetide-{uuid.uuid4().hex}")
+        name = f"pagetide-{uuid.uuid4().hex}"
+        if spark.sparkContext.master.startswith("local"):
+            got = os.path.join(tempfile.gettempdir(), name)
+            atexit.register(shutil.rmtree, got, ignore_errors=True)
+        else:
+            got = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(got)
     return got
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)

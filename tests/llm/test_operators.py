@@ -79,7 +79,7 @@ def test_jaccard_blocks_and_small_sets(spark):
         texts.append((i, " ".join(w[: 8 + i % 53])))
     d = spark.createDataFrame(texts, "doc_id long, text string")
     one = {r.doc_id: r.component_id for r in op4_jaccard.jaccard_components(d, num=80).collect()}
-    many = {r.doc_id: r.component_id for r in op4_jaccard.jaccard_components(d, num=80, block_shingles=600).collect()}
+    many = {r.doc_id: r.component_id for r in op4_jaccard.jaccard_components(d, num=80, block_shingles=600, block_rows=4).collect()}
     sets = op4_jaccard.exact_sets([t for _, t in texts], 3)
     links = [(i, j) for i in range(160) for j in range(i) if len(sets[i]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
     root = list(range(160))
@@ -94,6 +94,73 @@ def test_jaccard_blocks_and_small_sets(spark):
     assert one == many == {i: find(i) for i in range(160)}
 
 
+def _components(sets, num):
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        for j in sets:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in sets}
+
+
+def test_jaccard_large_neighbourhoods(spark):
+    """A big group around one text whose members link with the lead, with each other only, or with nothing; one id on two texts."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.integers(0, 7)):
+            w[rng.integers(0, 40)] = f"z{rng.integers(0, 5)}"
+        texts.append((i, " ".join(w)))
+    d = spark.createDataFrame([*texts, (0, texts[0][1])], "doc_id long, text string")
+    sets = {i: set(zip(*(t.split()[k:] for k in range(3)))) for i, t in texts}
+    for num in (80, 90):
+        got = {r.doc_id: r.component_id for r in op4_jaccard.jaccard_components(d, num=num, block_rows=16).collect()}
+        assert got == _components(sets, num)
+    two = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (1, "g h i j k l"), (3, "a b c d e f")], "doc_id long, text string")
+    assert {r.component_id for r in op4_jaccard.jaccard_components(two).collect()} == {1}
+
+
+def test_jaccard_signatures_meet():
+    """Linked random sets of every small size share a signature, unless one is said to lack weight."""
+    rng, met = np.random.default_rng(12), 0
+    for num in (80, 90):
+        sch = op4_jaccard.scheme(num, 100)
+        for n in [*range(1, 70), 150, 400]:
+            for _ in range(12):
+                pool = np.unique(rng.integers(0, 1 << 64, n + 40, dtype=np.uint64))
+                rng.shuffle(pool)
+                small = pool[:n]
+                for gone in range(sch.deletions(n) + 1):
+                    extra = max((e for e in range(40) if 100 * (n - gone) >= num * (n + e)), default=-1)
+                    if extra < 0:
+                        continue
+                    other = np.concatenate((small[gone:], pool[n : n + extra]))
+                    (a, x), (b, y) = (op4_jaccard.signatures(np.sort(v), sch) for v in (small, other))
+                    assert x or y or len(np.intersect1d(a, b)) or (not gone and not extra)
+                    met += not (x or y)
+    assert met > 3000
+
+
+def test_jaccard_scan():
+    """What lacks weight is compared with every row."""
+    import pyarrow as pa
+
+    texts = ["a b c d", "a b c d e", "x y z", None, "A B C D"]
+    held = [(i, s.tobytes()) for i, s in enumerate(op4_jaccard.shingle_rows(3)(pa.array(texts[:1])))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"])
+    (got,) = op4_jaccard._scan(3, 60, 100, held)(iter([batch]))
+    assert list(zip(*(c.to_pylist() for c in got.columns))) == [(0, 1), (0, 4)]
+
+
 def test_bpe_and_orc(spark, docs, rows):
     from tokenizers import Tokenizer
 
