@@ -1,11 +1,13 @@
 """Quality rules with a robust multivariate outlier test, in DataFrame operations alone.
 
 Fixed rules come first (too few words, too much repetition). The statistics of a text are then
-transformed into a vector: shrunk mean word length, log of symbols a word, root of the share of
-repeated lines, shrunk share of capitals. For every language and source a minimum-covariance-
-determinant estimate is made: from medians and quartiles as a start, concentration steps take the
-`share` of rows with the smallest Mahalanobis distances and re-estimate centre and covariance from
-them. Rows whose distance is above `cutoff` are rejected. A language and source with fewer than
+transformed into a vector of log rates, each shrunk a little towards a common value: characters a word, symbols
+a character, repeated lines a line, capitals a character. For every language and source a minimum-covariance-
+determinant estimate is made. Each of several starts orders the rows by robust distances (medians and quartiles) over
+all statistics or over some of them; concentration steps take the `share` of rows with the smallest Mahalanobis
+distances and re-estimate centre and covariance from them. After two steps the start with the least determinant goes on
+until its determinant settles. The covariance is scaled to be consistent for normal data, so clean rows' squared
+distances follow chi-square with four degrees, and rows beyond its quantile at 1 - `alpha` are rejected. A language and source with fewer than
 `least_rows` rows is pooled with the others of its language, and those with all the rest; a pool
 that is still smaller rejects nothing.
 
@@ -15,7 +17,7 @@ source is pre-aggregated where it lies. Windows of five words are compared by ha
 first; only rows with an equal pair compare the words themselves.
 
 Defined results: null or blank text has no words and fails the rules; null language or source are
-groups like any other; each row is judged, repeated or not.
+groups like any other; each row is judged, repeated or not; columns with the statistics' names are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +32,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK = "[\\x20\\x09-\\x0D]+"
 P = 4
 UNIT = 1000
-#: Added to the standard deviations (in units of UNIT), so a statistic that hardly varies in a group rejects no one for a trifle.
-FLOOR = (25, 60, 150, 20)
+#: Added to every standard deviation (in units of 1/UNIT), so that a statistic that never varies has an inverse.
+FLOOR = 2.0
+#: The statistics each start orders rows by.
+STARTS = ((0, 1, 2, 3), (0, 3), (1, 2))
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "base_failed")
 
 
 def words(text: Column) -> Column:
@@ -48,7 +53,7 @@ def _paired(sorted_: str, field: str) -> str:
 
 def base_statistics(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper and base_failed."""
-    keep = docs.columns
+    keep = [c for c in docs.columns if c not in STATISTICS]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     x = docs.withColumn("__w", words(text)).withColumn("__l", F.filter(F.split(text, "\n"), lambda v: v.rlike("[^\\x20\\x09-\\x0D]")))
     x = x.withColumn("n_words", F.size("__w").cast("long"))
@@ -74,13 +79,8 @@ def base_statistics(docs: DataFrame, text_col: str = "text", window: int = 5) ->
 def vector() -> list[Column]:
     """The transformed statistics, as integers in units of 1/UNIT."""
     n, chars = F.col("n_words"), F.col("word_chars")
-    f = [
-        (chars + 100) / (n + 20) / 10,
-        F.log1p(10 * F.col("n_symbols") / (n + 20)),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(4))),
-        (F.col("n_upper") + 3) / (chars + 60),
-    ]
-    return [F.floor(UNIT * F.least(v, F.lit(20.0)) + 0.5).cast("long") for v in f]
+    f = [(chars + 100) / (n + 20), (F.col("n_symbols") + 1) / (chars + 200), (F.col("n_dup_lines") + 1) / (F.col("n_lines") + 4), (F.col("n_upper") + 3) / (chars + 60)]
+    return [F.floor(UNIT * F.log(v) + 0.5).cast("long") for v in f]
 
 
 def _grouped(rows: DataFrame, least_rows: int) -> DataFrame:
@@ -98,7 +98,8 @@ def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def _invert(cov: DataFrame) -> DataFrame:
-    """Adds s_i_j, the inverse of c_i_j, by Gauss-Jordan steps over the few rows there are."""
+    """c_i_j becomes the inverse of c_i_j, and log_det its log determinant, by Gauss-Jordan steps over the few rows there are."""
+    cov = cov.withColumn("log_det", F.lit(0.0))
     for k in range(P):
         d = F.col(f"c_{k}_{k}")
         new = {}
@@ -106,7 +107,7 @@ def _invert(cov: DataFrame) -> DataFrame:
             for j in range(P):
                 a, b, c = F.col(f"c_{i}_{j}"), F.col(f"c_{i}_{k}"), F.col(f"c_{k}_{j}")
                 new[f"c_{i}_{j}"] = F.lit(1.0) / d if i == j == k else c / d if i == k else -b / d if j == k else a - b * c / d
-        cov = cov.select("g", "n", *(f"m_{i}" for i in range(P)), *(v.alias(n) for n, v in new.items()))
+        cov = cov.select("g", "s", "n", (F.col("log_det") + F.log(d)).alias("log_det"), *(f"m_{i}" for i in range(P)), *(v.alias(n) for n, v in new.items()))
     return cov
 
 
@@ -119,8 +120,8 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def estimate(rows: DataFrame, groups: DataFrame, share: float, steps: int) -> DataFrame:
-    """Per g: n, centre m_i and inverse covariance c_i_j (consistent for normal data) of the concentrated rows. rows: g, x_i."""
+def _start(rows: DataFrame) -> DataFrame:
+    """Per g and start s: medians m_i and, as c_i_j, the inverse of the robust variances of the start's statistics."""
     long = rows.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("j"), F.col(f"x_{i}").alias("q")) for i in range(P)))).alias("e")).select("g", "e.j", "e.q")
     bars = long.groupBy("g", "j", "q").count()
     w = W.partitionBy("g", "j").orderBy("q")
@@ -128,49 +129,72 @@ def estimate(rows: DataFrame, groups: DataFrame, share: float, steps: int) -> Da
     at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("n"), F.col("q")))
     start = bars.groupBy("g", "j").agg(at(0.25).alias("lo"), at(0.5).alias("mid"), at(0.75).alias("hi"), F.max("n").alias("n"))
     pick = lambda i, v: F.max(F.when(F.col("j") == i, v)).cast("double")
-    sd = lambda i: (F.col("hi") - F.col("lo")) / 1.349
-    first = [pick(i, F.col("mid")).alias(f"m_{i}") for i in range(P)] + [(pick(i, sd(i) * sd(i)) + FLOOR[i] ** 2).alias(f"c_{i}_{i}") for i in range(P)]
-    now = start.groupBy("g").agg(F.max("n").alias("n"), *first)
-    now = now.select("g", "n", *(f"m_{i}" for i in range(P)), *((F.col(f"c_{i}_{i}") if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(P) for j in range(P)))
-    now = cut(_invert(now))
+    sd = (F.col("hi") - F.col("lo")) / 1.349
+    now = start.groupBy("g").agg(F.max("n").alias("n"), *(pick(i, F.col("mid")).alias(f"m_{i}") for i in range(P)), *(pick(i, sd * sd + FLOOR**2).alias(f"v_{i}") for i in range(P)))
+    of = lambda i: F.when(F.array_contains("use", i), 1.0 / F.col(f"v_{i}")).otherwise(0.0)
+    now = now.select("*", F.posexplode(F.array(*(F.array(*map(F.lit, u)) for u in STARTS))).alias("s", "use"))
+    return now.select("g", "s", "n", F.lit(None).cast("double").alias("log_det"), *(f"m_{i}" for i in range(P)), *((of(i) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(P) for j in range(P)))
+
+
+def _step(rows: DataFrame, now: DataFrame, share: float) -> DataFrame:
+    """One concentration step of each g and s."""
+    near = rows.join(_small(now), "g").withColumn("bin", F.floor(F.log2(1 + _distance()) * 64).cast("int")).select("g", "s", "bin", *(f"x_{i}" for i in range(P)))
+    bins = near.groupBy("g", "s", "bin").count()
+    by = W.partitionBy("g", "s")
+    bins = bins.withColumn("upto", F.sum("count").over(by.orderBy("bin"))).withColumn("n", F.sum("count").over(by))
+    edge = cut(bins.groupBy("g", "s").agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= share * F.col("n"), F.col("bin"))).alias("edge")))
+    sums = [F.sum(f"x_{i}").alias(f"t_{i}") for i in range(P)] + [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"t_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    got = near.join(_small(edge), ["g", "s"]).where("bin <= edge").groupBy("g", "s").agg(F.max("n").alias("n"), F.count("*").alias("h"), *sums)
+    mean = lambda i: F.col(f"t_{i}") / F.col("h")
+    # the kept share of a normal cloud looks smaller than it is; consistency(share) undoes that
+    cov = lambda i, j: (F.col(f"t_{i}_{j}") / F.col("h") - mean(i) * mean(j)) * consistency(share) + (FLOOR**2 if i == j else 0)
+    return cut(_invert(got.select("g", "s", "n", *(mean(i).alias(f"m_{i}") for i in range(P)), *(cov(max(i, j), min(i, j)).alias(f"c_{i}_{j}") for i in range(P) for j in range(P)))))
+
+
+def estimate(rows: DataFrame, share: float, steps: int) -> DataFrame:
+    """Per g: n, centre m_i, inverse covariance c_i_j and log_det of the rows kept by the start with the least determinant. rows: g, x_i.
+
+    steps: the most steps after the first two; they end when no determinant changes by a thousandth."""
+    now = _step(rows, _step(rows, cut(_start(rows)), share), share)
+    least = F.min_by(F.struct(*now.columns[1:]), F.struct("log_det", "s")).alias("r")
+    now = cut(now.groupBy("g").agg(least).select("g", "r.*"))
     for _ in range(steps):
-        near = rows.join(_small(now), "g").withColumn("bin", F.floor(F.log2(1 + _distance()) * 64).cast("int"))
-        near = near.select("g", "bin", *(f"x_{i}" for i in range(P)))
-        bins = near.groupBy("g", "bin").count()
-        b = W.partitionBy("g").orderBy("bin")
-        bins = bins.withColumn("upto", F.sum("count").over(b)).withColumn("n", F.sum("count").over(W.partitionBy("g")))
-        edge = cut(bins.groupBy("g").agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= share * F.col("n"), F.col("bin"))).alias("edge")))
-        sums = [F.sum(f"x_{i}").alias(f"t_{i}") for i in range(P)] + [F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"t_{i}_{j}") for i in range(P) for j in range(i + 1)]
-        got = near.join(_small(edge), "g").where("bin <= edge").groupBy("g").agg(F.max("n").alias("n"), F.count("*").alias("h"), *sums)
-        mean = lambda i: F.col(f"t_{i}") / F.col("h")
-        # the kept share of a normal cloud looks smaller than it is; CONSISTENT[share] undoes that
-        cov = lambda i, j: (F.col(f"t_{i}_{j}") / F.col("h") - mean(i) * mean(j)) * consistency(share) + (FLOOR[i] ** 2 if i == j else 0)
-        got = got.select("g", "n", *(mean(i).alias(f"m_{i}") for i in range(P)), *(cov(max(i, j), min(i, j)).alias(f"c_{i}_{j}") for i in range(P) for j in range(P)))
-        now = cut(_invert(got))
-    return now
+        last, now = now, _step(rows, now, share)
+        moved = now.join(_small(last.select("g", F.col("log_det").alias("before"))), "g").where("abs(log_det - before) > 1e-3")
+        if not moved.head(1):
+            break
+    return now.drop("s")
+
+
+def chi_square(p: float) -> float:
+    """The quantile of chi-square with P degrees at p; P is even, so the tail is in closed form."""
+    import math
+
+    lo, hi = 0.0, 1e4
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        tail = math.exp(-mid / 2) * sum((mid / 2) ** k / math.factorial(k) for k in range(P // 2))
+        lo, hi = (mid, hi) if tail > 1 - p else (lo, mid)
+    return lo
 
 
 def consistency(share: float) -> float:
     """share / P(chi2 with P + 2 degrees <= its quantile for P degrees at share); both degrees even, so in closed form."""
     import math
 
-    tail = lambda x, half: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(half))
-    lo, hi = 0.0, 200.0
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 1 - tail(mid, P // 2) < share else (lo, mid)
-    return share / (1 - tail(lo, P // 2 + 1))
+    x = chi_square(share) / 2
+    return share / (1 - math.exp(-x) * sum(x**k / math.factorial(k) for k in range(P // 2 + 1)))
 
 
-def judge(rows: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 60.0, least_rows: int = 100) -> DataFrame:
-    """rows (with base statistics, already computed, and lang and source) with distance and kept."""
+def judge(rows: DataFrame, share: float = 0.75, steps: int = 8, alpha: float = 1e-6, least_rows: int = 100) -> DataFrame:
+    """rows (with base statistics, already computed, and lang and source) with distance (squared, Mahalanobis) and kept."""
     keep = rows.columns
     groups = cut(_grouped(rows, least_rows))
     keyed = rows.withColumns({f"x_{i}": v for i, v in enumerate(vector())})
     keyed = keyed.join(_small(groups), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")))
-    fit = estimate(keyed.where("n_words > 0").select("g", *(f"x_{i}" for i in range(P))), groups, share, steps)
+    fit = estimate(keyed.where("n_words > 0").select("g", *(f"x_{i}" for i in range(P))), share, steps)
     d = keyed.join(_small(fit), "g", "left").withColumn("distance", F.when(F.col("n") >= least_rows, _distance()))
-    return d.select(*keep, "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
+    return d.select(*keep, "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi_square(1 - alpha))).alias("kept"))
 
 
 def quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:

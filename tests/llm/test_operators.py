@@ -313,20 +313,63 @@ def test_quality(docs, rows):
     assert op9_quality.clean(docs, least_rows=20).columns == docs.columns
 
 
-def test_quality_estimate_against_numpy(docs):
-    """The concentration steps, redone with numpy on the same integer statistics."""
-    base = op9_quality.base_statistics(docs.select("doc_id", "text")).where("n_words > 0").withColumns({f"x_{i}": v for i, v in enumerate(op9_quality.vector())})
-    x = np.array(base.select("x_0", "x_1", "x_2", "x_3").collect(), float)
-    fit = op9_quality.estimate(base.select(F.lit("g").alias("g"), *(f"x_{i}" for i in range(4))), None, 0.75, 3).first()
-    s, floor = np.sort(x, axis=0), np.diag(np.square(op9_quality.FLOOR))
+def _mcd(x, share=0.75, steps=8):
+    """The estimate of op9's docstring, with numpy, over rows x."""
+    s, floor = np.sort(x, axis=0), 4 * np.eye(4)
     at = lambda p: s[math.ceil(p * len(s)) - 1]
-    mean, inv = at(0.5), np.linalg.inv(np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2) + floor)
-    for _ in range(3):
-        z = x - mean
-        bins = np.floor(np.log2(1 + np.maximum(0, np.einsum("ni,ij,nj->n", z, inv, z))) * 64)
-        keep = x[bins <= np.sort(bins)[math.ceil(0.75 * len(x)) - 1]]
-        mean, inv = keep.mean(axis=0), np.linalg.inv(np.cov(keep.T, bias=True) * op9_quality.consistency(0.75) + floor)
-    assert np.allclose([fit[f"m_{i}"] for i in range(4)], mean) and np.allclose([[fit[f"c_{i}_{j}"] for j in range(4)] for i in range(4)], inv, rtol=1e-6)
+    square = lambda mean, inv: np.einsum("ni,ij,nj->n", x - mean, inv, x - mean)
+
+    def step(mean, inv):
+        bins = np.floor(np.log2(1 + np.maximum(0, square(mean, inv))) * 64)
+        keep = x[bins <= np.sort(bins)[math.ceil(share * len(x)) - 1]]
+        cov = np.cov(keep.T, bias=True) * op9_quality.consistency(share) + floor
+        return keep.mean(axis=0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+    ends = []
+    for use in ((0, 1, 2, 3), (0, 3), (1, 2)):
+        var = ((at(0.75) - at(0.25)) / 1.349) ** 2 + 4
+        now = step(*step(at(0.5), np.diag([1 / var[i] if i in use else 0 for i in range(4)]))[:2])
+        ends.append(now)
+    now = min(ends, key=lambda e: e[2])
+    for _ in range(steps):
+        last, now = now, step(*now[:2])
+        yield now
+        if abs(now[2] - last[2]) <= 1e-3:
+            return
+
+
+def test_quality_verdicts_against_numpy(spark):
+    """distance and kept of every row, redone: pools, starts, steps and the chi-square cutoff. A page of mostly repeated lines goes."""
+    d = documents(spark, "/root/testdata/sf0.01")
+    menu = "\n".join(["home products about contact"] * 150 + [" ".join(f"word{i}x{k}" for k in range(12)) + "." for i in range(60)])
+    d = d.unionByName(spark.createDataFrame([(700000, menu, "en", "src0", len(menu)), (700001, "One two three. " * 2 + "odd lang text of its own, with a few more words here", None, None, 1)], d.schema))
+    base = op9_quality.base_statistics(d).withColumns({f"x_{i}": v for i, v in enumerate(op9_quality.vector())})
+    rows = [r for r in base.drop("text").collect()]
+    least = 25
+    size = collections.Counter((r.lang, r.source) for r in rows)
+    pool = collections.Counter()
+    for (lang, _), n in size.items():
+        pool[lang] += n if n < least else 0
+    group = lambda r: (r.lang, r.source) if size[r.lang, r.source] >= least else (r.lang,) if pool[r.lang] >= least else ()
+    got = {r.doc_id: r for r in op9_quality.quality(d, least_rows=least).collect()}
+    seen = collections.Counter()
+    for g in {group(r) for r in rows}:
+        mine = [r for r in rows if group(r) == g]
+        x = np.array([[r[f"x_{i}"] for i in range(4)] for r in mine if r.n_words > 0], float)
+        fits = list(_mcd(x)) if len(x) >= least else []
+        for r in mine:
+            v, out = np.array([r[f"x_{i}"] for i in range(4)], float), got[r.doc_id]
+            if not fits:
+                assert out.distance is None and out.kept == (not r.base_failed)
+                continue
+            want = [max(0.0, (v - m) @ inv @ (v - m)) for m, inv, _ in fits]
+            # the steps of all groups end together, so a group may have gone on past its own end, where little changes
+            assert any(math.isclose(out.distance, w, rel_tol=0.05, abs_tol=0.3) for w in want[-1:]) or any(math.isclose(out.distance, w, rel_tol=1e-6) for w in want)
+            assert out.kept == (not r.base_failed and out.distance <= op9_quality.chi_square(1 - 1e-6))
+            seen[len(g)] += 1
+    assert seen[2] and seen[1] and not got[700000].base_failed and not got[700000].kept
+    assert 2.2 < np.median([r.distance for r in got.values() if r.distance is not None and not r.base_failed]) < 4.5
+    assert math.isclose(op9_quality.chi_square(0.95), 9.487729, rel_tol=1e-6)
 
 
 def test_mix(docs, rows):
