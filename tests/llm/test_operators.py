@@ -341,7 +341,7 @@ def _mcd(x, share=0.75, steps=8):
 def test_quality_verdicts_against_numpy(spark):
     """distance and kept of every row, redone: pools, starts, steps and the chi-square cutoff. A page of mostly repeated lines goes."""
     d = documents(spark, "/root/testdata/sf0.01")
-    menu = "\n".join(["home products about contact"] * 150 + [" ".join(f"word{i}x{k}" for k in range(12)) + "." for i in range(60)])
+    menu = "\n".join(x for i in range(60) for x in ("home about", " ".join(f"word{i}x{k}" for k in range(12)) + "."))
     d = d.unionByName(spark.createDataFrame([(700000, menu, "en", "src0", len(menu)), (700001, "One two three. " * 2 + "odd lang text of its own, with a few more words here", None, None, 1)], d.schema))
     base = op9_quality.base_statistics(d).withColumns({f"x_{i}": v for i, v in enumerate(op9_quality.vector())})
     rows = [r for r in base.drop("text").collect()]
