@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagetide.llm import op3_mix, op4_jaccard, op6_pii, op8_bpe, op9_quality
 from pagetide.llm.queries import tokenizer_path
-from pagetide.llm.shared import documents, scratch
+from pagetide.llm.shared import documents, remove, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)  # nothing reads a stage's table once the next one is written
+        before = path
     return docs
