@@ -18,6 +18,15 @@ LABEL = "(?:[0-9]+(?:[.:-][0-9]+)*(?:[a-z])?|(?:[A-Z]|[IVXLCDM]{2,})(?:[.:-]?[0-
 GREEK = "\\u0370-\\u03ffℏħ"
 STRONG = "[=≡+−–*/^_<>≈≠≤≥±×÷∝→↦∑∫∏√∞∂∇□" + GREEK + "]"
 SIGNAL = "[0-9□ℏħΑ-ω∂∇≡≈≠≤≥±×÷∝→↦⇒∑∫∏√∞+−*/^_<>()\\[\\]{}]"
+PROSE_WORD = "\\A[A-Za-zÀ-ÿ]{3,}\\z"
+RELATION = "[=≈≠≤≥<>∝]"
+DISPLAY = f"[{GREEK}∂∇∑∫∏√∞]"
+FUNCTION = "\\A(?i:sin|cos|tan|log|ln|lim|exp|max|min)\\z"
+PLAIN_TOKEN = "\\A(?:[A-Za-z][0-9]*[.,;:]?|[+−-]?[0-9]+(?:[.,][0-9]+)?[.,;:]?)\\z"
+LONE_MARK = "\\A[()\\[\\]{}.,;:]\\z"
+GREEK_LETTER = "[Α-ωℏħ]"
+LONG_RUN = "[A-Za-z]{4}"
+MOST_LIKE = 160
 SIGN = f"[{SIGNS}{SCRIPTS}]"
 SIGN_OR_BOX = f"[□{SIGNS}{SCRIPTS}]"
 
@@ -34,10 +43,10 @@ def equation_label(c: Column, bare: bool = False) -> Column:
 def is_equation_like(c: Column) -> Column:
     t = trim(F.coalesce(c, F.lit("")))
     signs = F.regexp_count(t, F.lit(SIGN))
-    prose = F.size(F.filter(words(t), lambda w: w.rlike("\\A[A-Za-zÀ-ÿ]{3,}\\z")))
-    never = (t == "") | (F.length(t) > 160) | t.rlike(OPERATOR) | equation_label(t).isNotNull()
-    always = t.rlike(TEX) | t.rlike(f"[{GREEK}∂∇∑∫∏√∞]")
-    return ~never & (always | (t.rlike("[=≈≠≤≥<>∝]") & (signs >= 1) & (prose <= 3)) | ((signs >= 3) & (prose <= 2)))
+    prose = F.size(F.filter(words(t), lambda w: w.rlike(PROSE_WORD)))
+    never = (t == "") | (F.length(t) > MOST_LIKE) | t.rlike(OPERATOR) | equation_label(t).isNotNull()
+    always = t.rlike(TEX) | t.rlike(DISPLAY)
+    return ~never & (always | (t.rlike(RELATION) & (signs >= 1) & (prose <= 3)) | ((signs >= 3) & (prose <= 2)))
 
 
 def is_glyph_token(w: Column) -> Column:
@@ -47,9 +56,8 @@ def is_glyph_token(w: Column) -> Column:
 def is_dense_token(w: Column) -> Column:
     """Tokens a numbered equation may hold, walking back from its label."""
     compact = F.regexp_replace(w, "[.,;:]\\z", "")
-    numbered = compact.rlike(GLYPHS) & compact.rlike("[0-9]") & ~compact.rlike("[A-Za-z]{4}")
-    plain = w.rlike("\\A(?:[A-Za-z][0-9]*[.,;:]?|[+−-]?[0-9]+(?:[.,][0-9]+)?[.,;:]?)\\z")
-    some = w.rlike("\\A[()\\[\\]{}.,;:]\\z") | w.rlike(SIGN_OR_BOX) | w.rlike("[Α-ωℏħ]") | numbered | plain
+    numbered = compact.rlike(GLYPHS) & compact.rlike("[0-9]") & ~compact.rlike(LONG_RUN)
+    some = w.rlike(LONE_MARK) | w.rlike(SIGN_OR_BOX) | w.rlike(GREEK_LETTER) | numbered | w.rlike(PLAIN_TOKEN)
     return F.coalesce((w != "") & equation_label(w).isNull() & some, F.lit(False))
 
 

@@ -12,7 +12,10 @@ from pyspark.sql.types import StringType
 #: White space as ECMAScript has it, for character classes.
 SPACE = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 #: Compound prefixes that keep their hyphen at a line break.
-COMPOUND = "all cross data double energy field first full gauge half high long low mass mean model momentum one open order real second self short space state third time two user well".split()
+COMPOUND = (
+    "all", "cross", "data", "double", "energy", "field", "first", "full", "gauge", "half", "high", "long", "low", "mass", "mean", "model",
+    "momentum", "one", "open", "order", "real", "second", "self", "short", "space", "state", "third", "time", "two", "user", "well",
+)
 _ANY = f"[{SPACE}]*"
 _PREFIX = "(?i:" + "|".join(COMPOUND) + ")"
 

@@ -14,11 +14,15 @@ def _order():
     return W.partitionBy("doc_id").orderBy("item_idx")
 
 
+def item_array(text: Column) -> Column:
+    """Word items (value, kind, paragraph_end) of a whole text as one array; the last word of a line ends a paragraph."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\\n"), lambda v: v.rlike(f"[^{SPACE}]"))
+    return F.flatten(F.transform(F.transform(lines, words), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("value"), F.lit("word").alias("kind"), (i == F.size(ws) - 1).alias("paragraph_end")))))
+
+
 def reading_items(docs: DataFrame) -> DataFrame:
-    """Word items of whole texts; the last word of a line ends a paragraph."""
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\\n"), lambda v: v.rlike(f"[^{SPACE}]"))
-    each = F.flatten(F.transform(F.transform(lines, words), lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("value"), (i == F.size(ws) - 1).alias("paragraph_end")))))
-    return docs.select("doc_id", F.posexplode(each).alias("item_idx", "w")).select("doc_id", "item_idx", "w.value", F.lit("word").alias("kind"), "w.paragraph_end")
+    """Word items of whole texts."""
+    return docs.select("doc_id", F.posexplode(item_array(F.col("text"))).alias("item_idx", "w")).select("doc_id", "item_idx", "w.*")
 
 
 def with_sentences(items: DataFrame) -> DataFrame:
@@ -63,7 +67,29 @@ def with_timeline(items: DataFrame, wpm: float = 300, mode: str | Column = "norm
 
 
 def equation_counts(items: DataFrame) -> DataFrame:
-    return items.groupBy("doc_id").agg(F.count_if(F.col("kind") == "equation").alias("equations"))
+    """Equations of each document, and those left unresolved (no detected region behind them; column unresolved)."""
+    equation = F.col("kind") == "equation"
+    return items.groupBy("doc_id").agg(F.count_if(equation).alias("equations"), F.count_if(equation & F.coalesce("unresolved", F.lit(False))).alias("unresolved"))
+
+
+def sentence_context(items: DataFrame) -> DataFrame:
+    """items (with sentences) with sentence: the words of the item's sentence in order, equations left out."""
+    s = W.partitionBy("doc_id", "sentence_id").orderBy("item_idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return items.withColumn("sentence", F.collect_list(F.when(F.col("kind") != "equation", F.col("value"))).over(s))
+
+
+def with_next_equation(items: DataFrame) -> DataFrame:
+    """items with equation_next: whether the following item is an equation."""
+    return items.withColumn("equation_next", F.coalesce(F.lead("kind").over(_order()) == "equation", F.lit(False)))
+
+
+def insert_items(items: DataFrame, added: DataFrame) -> DataFrame:
+    """items with those of added before the item that holds their item_idx, or in its place where replace is set; numbered anew."""
+    gone = added.where("replace").select("doc_id", "item_idx")
+    names = [c for c in items.columns if c not in ("doc_id", "item_idx")]
+    kept = items.join(gone, ["doc_id", "item_idx"], "left_anti").select("doc_id", "item_idx", F.lit(1).alias("__o"), *names)
+    both = kept.unionByName(added.select("doc_id", "item_idx", F.lit(0).alias("__o"), *names))
+    return both.withColumn("item_idx", F.row_number().over(W.partitionBy("doc_id").orderBy("item_idx", "__o")) - 1).drop("__o")
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:

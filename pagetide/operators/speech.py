@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pagetide.functions.text import locale_prefix, normalized_locale, trim
 
 #: Words that mark French and English.
-FRENCH = "au aux avec ce ces dans de des du en est et la le les nous par pour que qui sur une".split()
-ENGLISH = "a and are as by for from in is of on that the this to we which with".split()
+FRENCH = ("au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "en", "est", "et", "la", "le", "les", "nous", "par", "pour", "que", "qui", "sur", "une")
+ENGLISH = ("a", "and", "are", "as", "by", "for", "from", "in", "is", "of", "on", "that", "the", "this", "to", "we", "which", "with")
 
 
 def speech_locale(text: Column, fallback: Column | str = "fr") -> Column:

@@ -1,150 +1,230 @@
-"""Selection text to words and equations, and items to speech chunks: folds that look ahead, in Arrow batches."""
+"""Selection text to words and equations, and items to speech chunks.
+
+Texts without a sign, bracket or letter of notation are plain words and never leave the JVM. The others
+go through Arrow: each distinct word is classified once, classes become flag arrays, and formulas
+are intervals found on them: runs of formula words, triples around an operator, and stretches before a label.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from pagetide.functions import notation as nt
-from pagetide.functions.text import COMPOUND
+from pagetide.functions.text import COMPOUND, SPACE, repair_line_hyphenation, words
+
 
-_SPACE = re.compile("[\t-\r    -     　﻿]+")
+def _py(pattern: str) -> re.Pattern:
+    """A pattern of the Column functions for Python; letters' cases match in ASCII alone, as in Java."""
+    return re.compile(re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: chr(int(m[1], 16)), pattern).replace("\\z", "\\Z"), re.ASCII if "(?i" in pattern else 0)
 
 
-def _py(pattern: str, flags: int = 0) -> re.Pattern:
-    """The same pattern for Python."""
-    return re.compile(pattern.replace("\\z", "\\Z"), flags)
+_BLANK, _WS = _py(f"[{SPACE}]+"), f"[{SPACE}]*"
+_OPERATOR, _ATOM, _GLYPHS, _TEX, _DISPLAY, _PROSE, _RELATION = map(_py, (nt.OPERATOR, nt.ATOM, nt.GLYPHS, nt.TEX, nt.DISPLAY, nt.PROSE_WORD, nt.RELATION))
+_SIGN, _SIGN_OR_BOX, _STRONG, _FUNCTION = map(_py, (nt.SIGN, nt.SIGN_OR_BOX, nt.STRONG, nt.FUNCTION))
+_DENSE = [_py(x) for x in (nt.LONE_MARK, nt.SIGN_OR_BOX, nt.GREEK_LETTER, nt.PLAIN_TOKEN)]
+_LONG_RUN, _DIGIT = _py(nt.LONG_RUN), re.compile("[0-9]")
+_LABELS = {"(": _py(f"(?i)\\A\\({_WS}({nt.LABEL}){_WS}\\)\\z"), "[": _py(f"(?i)\\A\\[{_WS}({nt.LABEL}){_WS}\\]\\z")}
+_CLOSE = {"(": ")", "[": "]"}
 
 
-_OPERATOR, _ATOM, _GLYPHS, _TEX = _py(nt.OPERATOR), _py(nt.ATOM), _py(nt.GLYPHS), _py(nt.TEX)
-_SIGN, _SIGN_OR_BOX, _STRONG = _py(nt.SIGN), _py(nt.SIGN_OR_BOX), _py(nt.STRONG)
-_DISPLAY = _py(f"[{nt.GREEK}∂∇∑∫∏√∞]")
-_PROSE, _RELATION = _py("\\A[A-Za-zÀ-ÿ]{3,}\\z"), _py("[=≈≠≤≥<>∝]")
-_LABELS = [(a, b, _py(f"\\A{re.escape(a)}{_SPACE.pattern[:-1]}*({nt.LABEL}){_SPACE.pattern[:-1]}*{re.escape(b)}\\z", re.I)) for a, b in (("(", ")"), ("[", "]"))]
-_FUNCTION = _py("\\A(?:sin|cos|tan|log|ln|lim|exp|max|min)\\z", re.I)
-_PLAIN = _py("\\A(?:[A-Za-z][0-9]*[.,;:]?|[+−-]?[0-9]+(?:[.,][0-9]+)?[.,;:]?)\\z")
-_BROKEN = re.compile("([^\\W\\d_]+)([-­‐])[\\s﻿]*\n[\\s﻿]*(?=([^\\W\\d_]))")
+def _trim(t: str) -> str:
+    return re.sub(f"\\A[{SPACE}]+|[{SPACE}]+\\Z", "", t)
 
 
 def label_of(text: str) -> str | None:
-    t = _SPACE.sub(" ", unicodedata.normalize("NFC", text)).strip(" ")
-    t = re.sub("）[.,;:]?\\Z", ")", re.sub("\\A（", "(", t))
-    t = re.sub("([)\\]])[.,;:]\\Z", "\\1", t)
-    for a, b, p in _LABELS:
-        if m := p.match(t):
-            return a + m[1] + b
-    return None
+    """A label in brackets, in plain form. Whatever does not start with a bracket is none."""
+    t = _trim(unicodedata.normalize("NFC", text))
+    if t[:1] not in ("(", "[", "（"):
+        return None
+    t = "(" + t[1:] if t[0] == "（" else t
+    t = re.sub("([)\\]])[.,;:]\\Z", r"\1", re.sub("）[.,;:]?\\Z", ")", t))
+    m = _LABELS[t[0]].match(t)
+    return t[0] + m[1] + _CLOSE[t[0]] if m else None
 
 
 def equation_like(text: str) -> bool:
-    t = text.strip()
-    if not t or len(t) > 160 or _OPERATOR.match(t) or label_of(t):
+    t = _trim(text)
+    if not 0 < len(t) <= nt.MOST_LIKE or _OPERATOR.match(t) or label_of(t) is not None:
         return False
     if _TEX.search(t) or _DISPLAY.search(t):
         return True
-    signs, prose = len(_SIGN.findall(t)), sum(bool(_PROSE.match(w)) for w in t.split())
-    return bool((_RELATION.search(t) and signs >= 1 and prose <= 3) or (signs >= 3 and prose <= 2))
+    signs = len(_SIGN.findall(t))
+    if not signs:
+        return False
+    prose = sum(_PROSE.match(w) is not None for w in _BLANK.split(t))
+    return (prose <= 3 and _RELATION.search(t) is not None) or (prose <= 2 and signs >= 3)
 
 
-def _glyph(w: str) -> bool:
-    return bool(_GLYPHS.match(w)) and (len(w) <= 3 or any("0" <= c <= "9" for c in w) or bool(_SIGN_OR_BOX.search(w)))
+class Kind(NamedTuple):
+    """What one word can be in a formula."""
 
+    glyph: bool
+    sign: bool
+    operator: bool
+    signed: bool
+    part: bool
+    atom: bool
+    dense: bool
+    like: bool
+    mark: bool
+    bracket: bool
 
-def _dense(w: str) -> bool:
-    if not w or label_of(w):
-        return False
-    compact = re.sub("[.,;:]\\Z", "", w)
-    numbered = bool(_GLYPHS.match(compact)) and re.search("[0-9]", compact) is not None and not re.search("[A-Za-z]{4}", compact)
-    return bool(re.match("[()\\[\\]{}.,;:]\\Z", w) or _SIGN_OR_BOX.search(w) or re.search("[Α-ωℏħ]", w) or numbered or _PLAIN.match(w))
-
-
-def _inline(words: list[str]) -> Iterator[tuple[str, str, str | None]]:
-    """Formulas inside a run of words: first per-word flags, then one pass that jumps over what a formula takes."""
-    glyph = [_glyph(w) for w in words]
-    operator = [bool(_SIGN.search(w) or _OPERATOR.match(w)) for w in words]
-    part = [g or bool(_FUNCTION.match(w)) for g, w in zip(glyph, words)]
-    n, i = len(words), 0
-    while i < n:
-        headless = bool(_OPERATOR.match(words[i])) and i + 1 < n and glyph[i + 1] and bool(_SIGN_OR_BOX.search(words[i + 1]))
-        dense = sum(glyph[i : i + 8]) >= 3 and any(operator[i : i + 8])
-        if (dense or headless) and words[i] not in {",", ".", ";", ":"}:
-            j = next((k for k in range(i, n) if not part[k]), n)
-            if j - i >= (2 if headless else 3):
-                yield " ".join(words[i:j]), "equation", None
-                i = j
-                continue
-        if i + 2 < n and _ATOM.match(words[i]) and _OPERATOR.match(words[i + 1]) and _ATOM.match(words[i + 2]):
-            whole = " ".join(words[i : i + 3])
-            tail = whole[-1] if whole[-1] in ".,;:" else ""
-            yield whole[: len(whole) - len(tail)], "equation", None
-            if tail:
-                yield tail, "word", None
-            i += 3
+
+@lru_cache(maxsize=1 << 16)
+def kind(w: str) -> Kind:
+    glyph_only = _GLYPHS.match(w) is not None
+    signed = _SIGN_OR_BOX.search(w) is not None
+    glyph = glyph_only and (len(w) <= 3 or signed or _DIGIT.search(w) is not None)
+    operator = _OPERATOR.match(w) is not None
+    compact = w[:-1] if w[-1:] in ".,;:" else w
+    numbered = _GLYPHS.match(compact) is not None and _DIGIT.search(compact) is not None and _LONG_RUN.search(compact) is None
+    dense = label_of(w) is None and (numbered or any(p.search(w) for p in _DENSE))
+    return Kind(glyph, operator or _SIGN.search(w) is not None, operator, signed, glyph or _FUNCTION.match(w) is not None, _ATOM.match(w) is not None, dense, equation_like(w), w in (",", ".", ";", ":"), w[0] in "([（")
+
+
+Item = tuple[str, str, str | None]
+
+
+def _formulas(some: list[str], flags: np.ndarray) -> list[Item]:
+    """Items of a run of words without labels. flags: one row a word, one column a field of Kind."""
+    n = len(some)
+    out: list[Item] = []
+    if not n:
+        return out
+    glyph, sign, operator, signed, part, atom, _, like, mark, _ = flags.T
+    after = lambda a, k: np.concatenate((a[k:], np.zeros(min(k, n), bool)))
+    ahead = np.minimum(np.arange(n) + 8, n)
+    count = lambda a: np.concatenate(([0], np.cumsum(a)))
+    within = lambda a: count(a)[ahead] - count(a)[:-1]
+    stop = np.append(np.flatnonzero(~part), n)
+    run = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)
+    headless = operator & after(glyph, 1) & after(signed, 1)
+    dense = (within(glyph) >= 3) & (within(sign) >= 1)
+    runs = (dense | headless) & ~mark & (run >= np.where(headless, 2, 3))
+    triples = atom & after(operator, 1) & after(atom, 2)
+    free = 0
+    word = lambda a, b: out.extend((some[i], "equation" if like[i] else "word", None) for i in range(a, b))
+    for i in np.flatnonzero(runs | triples).tolist():
+        if i < free:
             continue
-        yield words[i], "equation" if equation_like(words[i]) else "word", None
-        i += 1
+        word(free, i)
+        free = i + (int(run[i]) if runs[i] else 3)
+        whole = " ".join(some[i:free])
+        tail = whole[-1] if not runs[i] and whole[-1] in ".,;:" else ""
+        out.append((whole[: len(whole) - len(tail)], "equation", None))
+        if tail:
+            out.append((tail, "word", None))
+    word(free, n)
+    return out
+
+
+def _labelled(some: list[str], flags: np.ndarray) -> list[tuple[int, int, int, str]]:
+    """(start, label's first word, end, label) of numbered equations, those that overlap an earlier one left out."""
+    dense, bracket = flags[:, 6], flags[:, 9]
+    bar = np.flatnonzero(~dense)
+    found, free = [], 0
+    for at in np.flatnonzero(bracket).tolist():
+        hits = ((n, label_of("".join(some[at : at + n]))) for n in range(min(5, len(some) - at), 0, -1))
+        n, label = next(((n, x) for n, x in hits if x), (0, None))
+        if not n:
+            continue
+        k = int(np.searchsorted(bar, at))
+        start = int(bar[k - 1]) + 1 if k else 0  # all words from here to the label are dense
+        start += start < len(some) and some[start] == ":"
+        if start >= free and (at - start >= 4 or equation_like(" ".join(some[start:at]))):
+            found.append((start, at, at + n, label))
+            free = at + n
+    return found
 
 
-def repair(text: str) -> str:
-    def join(m: re.Match) -> str:
-        if unicodedata.category(m[3]) != "Ll":
-            return m[0]
-        return m[1] + ("-" if m[2] == "-" and m[1].lower() in COMPOUND else "")
+_BROKEN = re.compile(f"([^\\W\\d_]+)([-\u00ad\u2010]){_WS}\n{_WS}(?=([^\\W\\d_]))")
 
-    return _BROKEN.sub(join, text)
 
+def _joined(left: str, hyphen: str) -> str:
+    return left + "-" if hyphen == "-" and left.lower() in COMPOUND else left
 
-def selection_items(text: str | None, detected_prose: bool = False) -> list[tuple[str, str, str | None]]:
+
+def repair(text: str) -> str:
+    return _BROKEN.sub(lambda m: _joined(m[1], m[2]) if unicodedata.category(m[3]) == "Ll" else m[0], text) if "\n" in text else text
+
+
+def selection_items(text: str | None, detected_prose: bool = False) -> list[Item]:
     """(value, kind, label) items of a selection. With detected_prose, equations without a strong sign are words again."""
-    words = [w for w in _SPACE.split(repair(unicodedata.normalize("NFC", text or "")).replace("\x03", "□")) if w]
-    found, free = [], 0
-    for at in range(len(words)):
-        for n in range(min(5, len(words) - at), 0, -1):
-            if not (label := label_of("".join(words[at : at + n]))):
-                continue
-            start = at
-            while start and _dense(words[start - 1]):
-                start -= 1
-            start += start < len(words) and words[start] == ":"
-            value = " ".join(words[start:at])
-            if at - start >= 4 or equation_like(value):
-                found.append((start, at + n, value, label))
-            break
-    out: list[tuple[str, str, str | None]] = []
-    for start, end, value, label in found:
-        if start >= free:
-            out += [*_inline(words[free:start]), (value, "equation", label)]
-            free = end
-    out += _inline(words[free:])
+    some = [w for w in _BLANK.split(repair(unicodedata.normalize("NFC", text or "")).replace("\x03", "□")) if w]
+    flags = np.array([kind(w) for w in some], bool).reshape(len(some), len(Kind._fields))
+    out: list[Item] = []
+    free = 0
+    for start, at, end, label in _labelled(some, flags):
+        out += [*_formulas(some[free:start], flags[free:start]), (" ".join(some[start:at]), "equation", label)]
+        free = end
+    out += _formulas(some[free:], flags[free:])
     if not detected_prose:
         return out
-    split = lambda x: [x] if x[1] != "equation" or _STRONG.search(x[0]) else [(w, "word", None) for w in x[0].split(" ")]
-    return [y for x in out for y in split(x)]
+    weak = lambda x: x[1] == "equation" and not _STRONG.search(x[0])
+    return [y for x in out for y in ([(w, "word", None) for w in x[0].split(" ")] if weak(x) else [x])]
 
 
 _ITEMS = ArrayType(StructType([StructField(k, StringType()) for k in ("value", "kind", "label")]))
 
 
-@F.pandas_udf(_ITEMS)
-def _selection(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [{"value": v, "kind": k, "label": e} for v, k, e in selection_items(t)])
+def _nested(rows: list[list[tuple]], names: tuple[str, ...], types: tuple) -> pa.Array:
+    flat = [x for r in rows for x in r]
+    off = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate(types)], list(names)))
 
 
-@F.pandas_udf(_ITEMS)
-def _prose(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [{"value": v, "kind": k, "label": e} for v, k, e in selection_items(t, True)])
+def _selected(detected_prose: bool):
+    @F.arrow_udf(_ITEMS)
+    def run(column: pa.Array) -> pa.Array:
+        return _nested([selection_items(t, detected_prose) for t in column.to_pylist()], ("value", "kind", "label"), (pa.string(),) * 3)
+
+    return run
+
+
+#: Any character that notation, a label or a text in need of composition has.
+_MAYBE = f"[^\\x{{0}}-\\x{{2ff}}\\x{{2010}}-\\x{{2027}}]|[{nt.SIGNS}{nt.SCRIPTS}\\x03\\\\]"
 
 
 def tokenize_selection(docs: DataFrame, key: str = "doc_id", text_col: str = "text", detected_prose: bool = False) -> DataFrame:
     """(doc_id, item_idx, value, kind, label) of whole texts."""
-    items = (_prose if detected_prose else _selection)(F.col(text_col))
-    return docs.select(key, F.posexplode(items).alias("item_idx", "w")).select(key, "item_idx", "w.*")
+    may = F.coalesce(F.col(text_col).rlike(_MAYBE), F.lit(False))
+    plain = docs.where(~may).select(key, F.posexplode(words(repair_line_hyphenation(F.col(text_col)))).alias("item_idx", "value"))
+    rest = docs.where(may).select(key, F.posexplode(_selected(detected_prose)(F.col(text_col))).alias("item_idx", "w")).select(key, "item_idx", "w.*")
+    return plain.select(key, "item_idx", "value", F.lit("word").alias("kind"), F.lit(None).cast("string").alias("label")).union(rest)
+
+
+class Unit(NamedTuple):
+    """A spoken word: after each fragment, the item that gave it and the length of the word so far; and the whole word."""
+
+    items: list[int]
+    lengths: list[int]
+    text: str
+
+
+def _units(values: list[str], first: int, stop: int) -> list[Unit]:
+    """The words of items first..stop-1, fragments broken at a hyphen joined; blank items give none."""
+    out: list[Unit] = []
+    for i in range(first, stop):
+        value = _trim(values[i] or "")
+        m = re.search("([^\\W\\d_]+)([-\u00ad\u2010])\\Z", out[-1].text) if out and value else None
+        if m and unicodedata.category(value[0]) == "Ll":
+            last = out.pop()
+            whole = last.text[: m.start()] + _joined(m[1], m[2]) + value
+            out.append(Unit([*last.items, i], [*last.lengths, len(whole)], whole))
+        elif value:
+            out.append(Unit([i], [len(value)], value))
+    return out
 
 
 def speech_chunk(items: list[dict], start: int, most: int = 1000) -> dict:
@@ -152,46 +232,66 @@ def speech_chunk(items: list[dict], start: int, most: int = 1000) -> dict:
     if not items:
         return {"text": "", "entries": [], "start_idx": 0, "end_idx": -1}
     start = max(0, min(len(items) - 1, start))
-    pieces, entries, size, end = [], [], 0, start - 1
-    for i in range(start, len(items)):
-        item = items[i]
-        if item.get("kind") == "equation":
+    return _chunk([x.get("value") for x in items], [i for i, x in enumerate(items) if x.get("kind") == "equation"], [i for i, x in enumerate(items) if x.get("paragraph_end")], start, most)
+
+
+def _chunk(values: list[str], equations: list[int], ends: list[int], start: int, most: int) -> dict:
+    """One chunk. equations, ends: ascending places of equations and of items that end a paragraph."""
+    k = bisect_left(equations, start)
+    stop = equations[k] if k < len(equations) else len(values)
+    k = bisect_left(ends, start)
+    while k < len(ends) and ends[k] < stop and not _trim(values[ends[k]] or ""):
+        k += 1  # blank items end nothing
+    stop = min(stop, ends[k] + 1) if k < len(ends) else stop
+    pieces, entries, size, last = [], [], 0, start - 1
+    reach = min(stop, start + most + 1)  # a chunk holds no more words than characters, but for blank items
+    while reach < stop and sum(1 for v in values[start:reach] if _trim(v or "")) <= most:
+        reach = min(stop, reach + most)
+    for unit in _units(values, start, reach):
+        at = size + (1 if pieces else 0)
+        fits = bisect_right(unit.lengths, most - at)
+        fits = max(fits, 0 if pieces else 1)
+        if not fits:
             break
-        value = (item.get("value") or "").strip()
-        if not value:
-            continue
-        m = re.search("([^\\W\\d_]+)([-­‐])\\Z", pieces[-1]) if pieces else None
-        if m and unicodedata.category(value[0]) == "Ll":
-            whole = pieces[-1][:-1] + ("-" if m[2] == "-" and m[1].lower() in COMPOUND else "") + value
-            if entries[-1][1] + len(whole) > most:
-                break
-            pieces[-1] = whole
-        else:
-            at = size + bool(pieces)
-            if pieces and at + len(value) > most:
-                break
-            pieces.append(value)
-            entries.append([i, at, 0])
-            whole = value
-        size = entries[-1][2] = entries[-1][1] + len(whole)
-        end = i
-        if item.get("paragraph_end"):
+        whole = unit.text
+        if fits < len(unit.items):  # the rest of a broken word opens the next chunk
+            whole = _units(values, unit.items[0], unit.items[fits - 1] + 1)[0].text
+        pieces.append(whole)
+        entries.append((unit.items[0], at, at + len(whole)))
+        size, last = at + len(whole), unit.items[fits - 1]
+        if fits < len(unit.items):
             break
-    return {"text": " ".join(pieces), "entries": [tuple(e) for e in entries], "start_idx": entries[0][0] if entries else start, "end_idx": end}
+    return {"text": " ".join(pieces), "entries": entries, "start_idx": entries[0][0] if entries else start, "end_idx": last}
+
+
+_CHUNKS = ArrayType(StructType([StructField("text", StringType()), StructField("start_idx", IntegerType()), StructField("end_idx", IntegerType()), StructField("entries", ArrayType(StructType([StructField(n, IntegerType()) for n in ("item_idx", "start", "end")])))]))
+
+
+def _all_chunks(values: list[str], kinds: list[str], ends: list[bool], most: int) -> list[dict]:
+    equations, stops = [i for i, k in enumerate(kinds) if k == "equation"], [i for i, e in enumerate(ends) if e]
+    out, at = [], 0
+    while at < len(values):
+        c = _chunk(values, equations, stops, at, most)
+        if c["entries"]:
+            out.append(c)
+        at = max(at, c["end_idx"]) + 1
+    return out
+
+
+def chunks_of(items: Column, most: int = 1000) -> Column:
+    """Array of all chunks of an array of items (value, kind, paragraph_end), chunk after chunk, within the row."""
+
+    @F.pandas_udf(_CHUNKS)
+    def run(values: pd.Series, kinds: pd.Series, ends: pd.Series) -> pd.Series:
+        told = lambda c: {**c, "entries": [{"item_idx": i, "start": a, "end": b} for i, a, b in c["entries"]]}
+        return pd.Series([[told(c) for c in _all_chunks(list(v), list(k), list(e), most)] if v is not None else [] for v, k, e in zip(values, kinds, ends)])
+
+    field = lambda n: F.transform(items, lambda x: x[n])
+    return run(field("value"), field("kind"), field("paragraph_end"))
 
 
 def speech_chunks(items: DataFrame, most: int = 1000) -> DataFrame:
-    """(doc_id, chunk_id, text, start_idx, end_idx, entries) of all items, chunk after chunk; one document is one group."""
-    schema = "doc_id long, chunk_id int, text string, start_idx int, end_idx int, entries array<struct<item_idx:int,start:int,end:int>>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_idx")
-        rows, at, out = pdf[["value", "kind", "paragraph_end"]].to_dict("records"), 0, []
-        while at < len(rows):
-            c = speech_chunk(rows, at, most)
-            if c["entries"]:
-                out.append((pdf["doc_id"].iloc[0], len(out), c["text"], c["start_idx"], c["end_idx"], [{"item_idx": i, "start": a, "end": b} for i, a, b in c["entries"]]))
-            at = max(at, c["end_idx"]) + 1
-        return pd.DataFrame(out, columns=["doc_id", "chunk_id", "text", "start_idx", "end_idx", "entries"])
-
-    return items.groupBy("doc_id").applyInPandas(run, schema)
+    """(doc_id, chunk_id, text, start_idx, end_idx, entries, equation_next) from rows of doc_id and items, an array of (value, kind, paragraph_end)."""
+    got = items.select("doc_id", "items", F.posexplode(chunks_of(F.col("items"), most)).alias("chunk_id", "c"))
+    follows = F.coalesce(F.get("items", F.col("c.end_idx") + 1)["kind"] == "equation", F.lit(False))
+    return got.select("doc_id", "chunk_id", "c.*", follows.alias("equation_next"))

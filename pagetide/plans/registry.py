@@ -19,11 +19,11 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pacing_by_document(spark, sf_dir):
-    """Reading time, words and sentence ends of each document, per-item pacing summed within the row: no shuffle."""
-    w = text.words(F.col("text"))
-    delays = F.transform(w, lambda v: pacing.reading_delay(v, 300.0))
-    total = F.aggregate(delays, F.lit(0.0), lambda a, d: a + d)
-    return _docs(spark, sf_dir).select("doc_id", F.size(w).cast("long").alias("words"), total.alias("reading_ms"), F.size(F.filter(w, lambda v: v.rlike(pacing.SENTENCE))).cast("long").alias("sentence_ends"))
+    """Reading time, words and sentence ends of each document: tokens are rows, so delays are generated code, and a document's rows meet before the shuffle."""
+    v = F.col("value")
+    t = _docs(spark, sf_dir).select("doc_id", F.explode_outer(text.words(F.col("text"))).alias("value"))
+    ms = F.sum(F.when(v.isNotNull(), pacing.reading_delay(v, 300.0)).otherwise(0.0))
+    return t.groupBy("doc_id").agg(F.count("value").alias("words"), ms.alias("reading_ms"), F.count_if(v.rlike(pacing.SENTENCE)).alias("sentence_ends"))
 
 
 def pacing_by_mode(spark, sf_dir):
@@ -84,7 +84,7 @@ def tokenize_selection(spark, sf_dir):
 
 
 def speech_chunks(spark, sf_dir):
-    x = tokenize.speech_chunks(sequence.reading_items(_docs(spark, sf_dir)))
+    x = tokenize.speech_chunks(_docs(spark, sf_dir).select("doc_id", sequence.item_array(F.col("text")).alias("items")))
     return x.select("doc_id", "chunk_id", F.length("text").alias("chars"), "start_idx", "end_idx", F.size("entries").alias("entries"))
 
 

@@ -51,6 +51,47 @@ def test_tokenize_selection():
     assert tokenize.selection_items(None) == []
 
 
+def test_predicates_agree(spark):
+    """The Column predicates and those of the Arrow path, over hostile tokens."""
+    import random
+
+    rng = random.Random(3)
+    alphabet = list("aAzZéſK0129=<>+−–-*/^_()[]{}.,;:∑∂□ψΩϕ²₃\\（）\u00a0\ufeff\x1c\x85I V")
+    some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7))) for _ in range(3000)] + ["(1)", "(ſ.1)", "(K.1)", "[ 4.2 ]", "（IV.2）.", "\\frac{a}", "sin", "ab12", "a" * 200 + "="]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "i int, t string")
+    t = F.col("t")
+    for r in rows.select("i", text.nfc(t).alias("t")).select("i", "t", notation.equation_label(t).alias("label"), notation.is_equation_like(t).alias("like"), notation.is_glyph_token(t).alias("glyph"), notation.is_dense_token(t).alias("dense")).collect():
+        k = tokenize.kind(r.t)
+        assert (tokenize.label_of(r.t), k.like, k.glyph, k.dense) == (r.label, r.like, r.glyph, r.dense), r.t
+
+
+def test_tokenize_plain_and_notation_rows(spark):
+    rows = [(1, "plain words only, well-\nknown equa-\ntions"), (2, "E = mc² (1.2) e\u0301"), (3, None), (4, ""), (5, "a\u2003b")]
+    got = {}
+    for r in tokenize.tokenize_selection(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "item_idx").collect():
+        got.setdefault(r.doc_id, []).append((r.value, r.kind, r.label))
+    assert got == {i: x for i, t in rows if (x := tokenize.selection_items(t))}
+
+
+def test_speech_chunks_cut(spark):
+    """Every chunk within the limit, all words once and in order, against a plain walk."""
+    import random
+
+    rng = random.Random(5)
+    for most in (12, 40):
+        values = [rng.choice(["a", "bc", "well-", "equa-", "known", "tions.", "longerword", "", " ", "Co"]) for _ in range(120)]
+        items = [{"value": v, "kind": "equation" if rng.random() < 0.05 else "word", "paragraph_end": rng.random() < 0.1} for v in values]
+        at = 0
+        while at < len(items):
+            c = tokenize.speech_chunk(items, at, most)
+            shown = [c["text"][a:b] for _, a, b in c["entries"]]
+            assert " ".join(shown) == c["text"] and (len(c["text"]) <= most or len(shown) == 1)
+            nxt = next((i for i in range(c["end_idx"] + 1, len(items)) if items[i]["value"].strip() or items[i]["kind"] == "equation"), None)
+            if c["entries"] and nxt is not None and items[nxt]["kind"] != "equation" and not items[c["end_idx"]]["paragraph_end"]:
+                assert len(c["text"]) + 1 + len(items[nxt]["value"].strip()) > most or c["text"].endswith("-")
+            at = max(at, c["end_idx"]) + 1
+
+
 def test_line_repair(spark):
     t = lambda v: one(spark, text.clean_text(F.lit(v)))[0]
     assert t("reconnais-\nsance") == "reconnaissance" and t("well-\nknown") == "well-known" and t("value-\n42") == "value-\n42"
