@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagetide.functions import geometry, notation, pacing, text
 from pagetide.operators import sequence, speech, tokenize
+from pagetide.plans import pages
 from pagetide.streaming import latest
 
 
@@ -119,13 +120,14 @@ def url_fields(spark, sf_dir):
 def nms(spark, sf_dir):
     """Suppression over boxes made from order lines: one page an order."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    box = F.struct(
-        (F.col("l_partkey") % 40).cast("double").alias("x"), (F.col("l_suppkey") % 20).cast("double").alias("y"), F.lit(30.0).alias("width"), F.lit(20.0).alias("height"),
-        F.when(F.col("l_returnflag") == "N", "display").otherwise("inline").alias("kind"), (1 - F.col("l_linenumber") / 100.0).alias("confidence"),
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    box = lambda s, i: F.struct(
+        (s["l_partkey"] % 40).cast("double").alias("x"), (s["l_suppkey"] % 20).cast("double").alias("y"), F.lit(30.0).alias("width"), F.lit(20.0).alias("height"),
+        F.when(s["l_returnflag"] == "N", "display").otherwise("inline").alias("kind"), (1 - i / 100.0).alias("confidence"),
     )
-    pages = li.groupBy("l_orderkey").agg(F.collect_list(box).alias("regions"))
+    pages = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(line)), box).alias("regions"))
     kept = geometry.non_max_suppression(F.col("regions"))
-    return pages.select("l_orderkey", F.size("regions").alias("regions"), F.size(kept).alias("kept"))
+    return pages.select("l_orderkey", F.size("regions").alias("regions"), F.size(kept).alias("kept"), F.aggregate(kept, F.lit(0.0), lambda a, r: a + r["x"]).alias("kept_x"))
 
 
 def layout_scalars(spark, sf_dir):
@@ -206,3 +208,37 @@ SELECT o_orderkey, floor(least(CAST(1.6 AS DOUBLE), 1 + greatest(CAST(0 AS DOUBL
   CASE WHEN w * h > 0 THEN greatest(CAST(1 AS DOUBLE), least(CAST(2 AS DOUBLE), sqrt(CAST(16000000 AS DOUBLE) / (w * 4 * (h * 4))))) ELSE CAST(1 AS DOUBLE) END AS pixel_ratio,
   CASE WHEN w > 0 THEN floor(least(CAST(4 AS DOUBLE), greatest(CAST(0.4 AS DOUBLE), w / 200)) * 100 + CAST(0.5 AS DOUBLE)) / 100 ELSE CAST(1 AS DOUBLE) END AS speech_rate FROM o""",
 }
+
+QUERIES |= pages.QUERIES
+ORACLE |= pages.ORACLE
+
+_LABEL_SQL = f"""CASE WHEN regexp_matches(t, '(?i)^\\({_WS}*{notation.LABEL}{_WS}*\\)$') THEN '(' || regexp_extract(t, '(?i)^\\({_WS}*({notation.LABEL}){_WS}*\\)$', 1) || ')'
+  WHEN regexp_matches(t, '(?i)^\\[{_WS}*{notation.LABEL}{_WS}*\\]$') THEN '[' || regexp_extract(t, '(?i)^\\[{_WS}*({notation.LABEL}){_WS}*\\]$', 1) || ']' END"""
+_RE2 = lambda p: p.replace("\\A", "^").replace("\\z", "$").replace("\\u0370", "\\x{370}").replace("\\u03ff", "\\x{3ff}")
+ORACLE["equation_like_tokens"] = f"""WITH {_TOKENS}, n AS (SELECT value, count(*) AS n FROM tokens GROUP BY 1),
+t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(value, '^（', '('), '）[.,;:]?$', ')'), '([)\\]])[.,;:]$', '\\1') AS t FROM n), l AS (SELECT *, {_LABEL_SQL} AS wrapped FROM t),
+e AS (SELECT *, coalesce(wrapped, CASE WHEN regexp_matches(t, '(?i)^{notation.LABEL}$') THEN t END) AS label, len(regexp_extract_all(value, '{notation.SIGN}')) AS signs, CASE WHEN regexp_matches(value, '{_RE2(notation.PROSE_WORD)}') THEN 1 ELSE 0 END AS prose FROM l),
+f AS (SELECT *, length(value) <= 160 AND NOT regexp_matches(value, '{_RE2(notation.OPERATOR)}') AND wrapped IS NULL AND (regexp_matches(value, '{notation.TEX}') OR regexp_matches(value, '{_RE2(notation.DISPLAY)}') OR (regexp_matches(value, '{notation.RELATION}') AND signs >= 1) OR (signs >= 3 AND prose <= 2)) AS equation FROM e)
+SELECT value, n, equation, label FROM f WHERE equation OR label IS NOT NULL"""
+# the driver's documents hold no word broken at a line's end and no text in need of composition, which is all that this SQL leaves out
+_CLEAN = f"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \\t]+', ' ', 'g'), '{_WS}*\\n{_WS}*', chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+ORACLE["line_repair"] = f"""WITH c AS (SELECT doc_id, text, {_CLEAN} AS c FROM documents), s AS (SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(p, '[^.!?]+[.!?]+|[^.!?]+$'), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')) AS n FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS p FROM c)),
+t AS (SELECT doc_id, sum(n) AS n FROM s GROUP BY 1) SELECT c.doc_id, CASE WHEN text IS NOT NULL THEN md5(c) END AS cleaned_md5, CASE WHEN text IS NOT NULL THEN CAST(coalesce(n, 0) AS BIGINT) END AS sentences FROM c LEFT JOIN t ON c.doc_id = t.doc_id"""
+ORACLE["nms"] = """WITH RECURSIVE b AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS n, CAST(l_partkey % 40 AS DOUBLE) AS x, CAST(l_suppkey % 20 AS DOUBLE) AS y, l_returnflag = 'N' AS d FROM lineitem),
+r AS (SELECT k, CAST(1 AS BIGINT) AS n, [{'x': x, 'y': y, 'd': d}] AS kept FROM b WHERE n = 1
+ UNION ALL SELECT b.k, b.n, CASE WHEN len(list_filter(r.kept, lambda q: q.d = b.d AND greatest(0, 30 - abs(q.x - b.x)) * greatest(0, 20 - abs(q.y - b.y)) / (1200 - greatest(0, 30 - abs(q.x - b.x)) * greatest(0, 20 - abs(q.y - b.y))) > CAST(0.45 AS DOUBLE))) > 0 THEN r.kept ELSE list_append(r.kept, {'x': b.x, 'y': b.y, 'd': b.d}) END FROM r JOIN b ON b.k = r.k AND b.n = r.n + 1)
+SELECT k AS l_orderkey, CAST(n AS INTEGER) AS regions, CAST(len(kept) AS INTEGER) AS kept, list_sum(list_transform(kept, lambda q: q.x)) AS kept_x FROM r WHERE n = (SELECT max(n) FROM b WHERE b.k = r.k)"""
+_EQ = "eq AS (SELECT *, item_idx % 11 = 5 AS e FROM items)"
+ORACLE["equation_context"] = f"""WITH {_ITEMS}, {_EQ}, sent AS (SELECT *, coalesce(sum((paragraph_end OR {_ENDS})::INT) OVER (PARTITION BY doc_id ORDER BY item_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sid, lead(e) OVER (PARTITION BY doc_id ORDER BY item_idx) AS ne, sum(CASE WHEN e THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY item_idx) AS pn FROM eq),
+sc AS (SELECT doc_id, sid, count(*) FILTER (NOT e) AS w FROM sent GROUP BY 1, 2), pr AS (SELECT doc_id, pn, length(value) AS len FROM sent WHERE NOT e),
+x AS (SELECT s.doc_id, s.item_idx, s.e, s.ne, sc.w, (SELECT coalesce(sum(len) + count(*) - 1, 0) FROM pr WHERE pr.doc_id = s.doc_id AND pr.pn BETWEEN s.pn - (CASE WHEN s.e THEN 1 ELSE 2 END) AND s.pn - (CASE WHEN s.e THEN 0 ELSE 1 END)) AS b, (SELECT coalesce(sum(len) + count(*) - 1, 0) FROM pr WHERE pr.doc_id = s.doc_id AND pr.pn BETWEEN s.pn + 1 AND s.pn + 2) AS a FROM sent s JOIN sc ON s.doc_id = sc.doc_id AND s.sid = sc.sid)
+SELECT doc_id, count(*) FILTER (e) AS equations, CAST(sum(greatest(b, 0)) AS BIGINT) AS before_chars, CAST(sum(greatest(a, 0)) AS BIGINT) AS after_chars, CAST(sum(w) AS BIGINT) AS sentence_words, count(*) FILTER (ne) AS before_equations FROM x GROUP BY 1"""
+ORACLE["equation_timeline"] = f"""WITH {_ITEMS}, {_EQ}, nx AS (SELECT doc_id, item_idx, e, coalesce(lead(e) OVER (PARTITION BY doc_id ORDER BY item_idx), false) AND NOT e AS q, value AS whole, paragraph_end AS whole_end FROM eq),
+cut AS (SELECT doc_id, item_idx, e, CASE WHEN q THEN regexp_replace(whole, '[.!?,;:…”’\\x22\\x27»)\\]]+$', '') ELSE whole END AS value, whole_end AND NOT q AS paragraph_end FROM nx),
+d AS (SELECT doc_id, item_idx, e, CASE WHEN e THEN CAST(1200 AS DOUBLE) ELSE {_delay('normal', 'paragraph_end')} END AS ms FROM cut), t AS (SELECT *, coalesce(sum(ms) OVER (PARTITION BY doc_id ORDER BY item_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST(0 AS DOUBLE)) AS pos FROM d)
+SELECT doc_id, max(pos) AS last_start_ms, sum(ms) AS total_ms, count(*) FILTER (e) AS equations, count(*) FILTER (e AND item_idx % 2 = 0) AS unresolved FROM t GROUP BY 1"""
+ORACLE["edited_items"] = f"""WITH {_ITEMS}, i AS (SELECT * FROM items WHERE doc_id % 5 = 0), u AS (SELECT doc_id, item_idx, 1 AS o, false AS eq FROM i WHERE NOT (item_idx % 7 = 3 AND item_idx % 2 = 0) UNION ALL SELECT doc_id, item_idx, 0, true FROM i WHERE item_idx % 7 = 3),
+n AS (SELECT doc_id, eq, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx, o) - 1 AS k FROM u) SELECT doc_id, count(*) AS items, CAST(sum(CASE WHEN eq THEN k ELSE 0 END) AS BIGINT) AS equation_places FROM n GROUP BY 1"""
+_KEEP = ", ".join(f"'{w}'" for w in text.COMPOUND)
+ORACLE["hyphen_joins"] = f"""WITH {_ITEMS}, p AS (SELECT DISTINCT regexp_replace(value, '[^\\p{{L}}]', '', 'g') AS a, lead(value) OVER (PARTITION BY doc_id ORDER BY item_idx) AS b FROM items)
+SELECT a, b, CASE WHEN a <> '' AND regexp_matches(b, '^\\p{{Ll}}') THEN CASE WHEN lower(a) IN ({_KEEP}) THEN a || '-' || b ELSE a || b END END AS joined FROM p WHERE b IS NOT NULL"""
