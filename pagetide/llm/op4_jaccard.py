@@ -17,8 +17,8 @@ smallest id is the lead, tied to each of the others. All pairs that share a sign
 some lead's neighbourhood (the lead and all tied to it), so comparing inside neighbourhoods misses
 nothing, and their sizes add up to the ties, which are linear in the signatures. A small neighbourhood is
 compared in one task on the real shingle strings, with the size bound and a parity sketch (a lower bound of the difference) before it
-and a union-find that skips pairs already connected. Of a large one, the lead is compared with all first, in blocks; only those
-that do not link with it are then compared with the others, block by block, so a large group of copies of one text costs its size.
+and a union-find that skips pairs already connected; a middling one in tasks of its own for each pair of blocks. Of a large one, the lead is compared with all first, in blocks; only those
+that are not connected with it by then (by any neighbourhood) are compared with the others, block by block, so a large group of copies of one text costs its size.
 
 Defined results: null or blank text has no shingles and links with nothing; text with fewer words
 than a shingle has its whole word sequence as its one shingle; rows with a null id have a null
@@ -361,7 +361,7 @@ def _hashes(words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 200_000, block_rows: int = 512) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 200_000, block_rows: int = 1024, most_direct: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links of Jaccard >= num/den."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -389,8 +389,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     small = marked.where("blocks is null").select("node", F.col("lead").alias("comp"), F.lit(2).alias("side"), F.pmod(F.xxhash64("lead"), F.lit(keys)).alias("key"))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # middle ones, of most_direct blocks at most: a node goes to each pair of blocks that its own takes part in
+    pairs = marked.where(F.col("blocks") <= most_direct).select("node", "lead", block("node", "blocks").alias("own"), each("blocks").alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    small = small.union(pairs.select("node", F.col("lead").alias("comp"), side.alias("side"), F.xxhash64("lead", F.least("own", "other"), F.greatest("own", "other")).alias("key")))
     # large ones: the lead (side 0) with every block of the others (side 1)
-    big = marked.where("blocks is not null")
+    big = marked.where(F.col("blocks") > most_direct)
     star = big.where("node <> lead").select("node", "lead", F.lit(1).alias("side"), block("node", "blocks").alias("b")).union(big.where("node = lead").select("node", "lead", F.lit(0), each("blocks")))
     star = star.select("node", F.col("lead").alias("comp"), "side", F.xxhash64("lead", "b").alias("key"))
 
@@ -399,13 +403,15 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
         return whole.mapInArrow(_verify(words, num, den), "a long, b long")
 
     found = cut(compared(small.union(star)))
-    if large.head(1):
-        linked = found.select(F.col("a").alias("lead"), F.col("b").alias("node")).union(found.select("b", "a")).join(few(large.select("lead")), "lead")
+    if large.where(F.col("blocks") > most_direct).head(1):
+        # nodes of the lead's own component need no more among themselves: any link that is still to be found has an end outside it
+        of = components(found).select(F.col("node").alias("m"), "label")
+        named = big.where("node <> lead").join(of.withColumnRenamed("m", "node"), "node", "left").join(of.select(F.col("m").alias("lead"), F.col("label").alias("lead_label")), "lead", "left")
         others = big.where("node <> lead")
-        apart = others.join(linked, ["lead", "node"], "left_anti").select("lead", "node", "n")
+        apart = named.where(F.coalesce("label", "node") != F.coalesce("lead_label", "lead")).select("lead", "node", "n")
         rest = cut(apart)
         if rest.head(1):
-            # those the lead does not link (side 0) with every block of all (side 1)
+            # those outside the lead's component (side 0) with every block of all (side 1)
             size = cut(blocks_of(rest).withColumnRenamed("blocks", "parts").join(few(large), "lead"))
             left = rest.join(few(size), "lead").select("node", "lead", F.lit(0).alias("side"), block("node", "parts").alias("x"), each("blocks").alias("y"))
             right = others.select("node", "lead").join(few(size), "lead").select("node", "lead", F.lit(1).alias("side"), each("parts").alias("x"), block("node", "blocks").alias("y"))

@@ -122,8 +122,8 @@ def test_jaccard_large_neighbourhoods(spark):
         texts.append((i, " ".join(w)))
     d = spark.createDataFrame([*texts, (0, texts[0][1])], "doc_id long, text string")
     sets = {i: set(zip(*(t.split()[k:] for k in range(3)))) for i, t in texts}
-    for num in (80, 90):
-        got = {r.doc_id: r.component_id for r in op4_jaccard.jaccard_components(d, num=num, block_rows=16).collect()}
+    for num, most_direct in ((80, 1), (90, 8), (90, 40)):
+        got = {r.doc_id: r.component_id for r in op4_jaccard.jaccard_components(d, num=num, block_rows=16, most_direct=most_direct).collect()}
         assert got == _components(sets, num)
     two = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (1, "g h i j k l"), (3, "a b c d e f")], "doc_id long, text string")
     assert {r.component_id for r in op4_jaccard.jaccard_components(two).collect()} == {1}
