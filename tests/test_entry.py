@@ -24,7 +24,7 @@ def test_query_against_sql(spark, name):
     assert len(got)
     if name in registry.ORACLE:
         con = duckdb.connect()
-        for t in "documents pages events orders lineitem".split():
+        for t in "documents pages events orders lineitem customer supplier benchmark conversations".split():
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = con.sql(registry.ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and _norm(got) == _norm(want)
