@@ -64,6 +64,7 @@ def _chunks(batches):
 
     serial = TaskContext.get().partitionId() << 40
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         ids = pa.array(batch.column(0))
         learn = np.array([bool(x) for x in batch.column(2).to_pylist()])
         for a, b, data, off in _pieces(batch.column(1)):
@@ -93,6 +94,7 @@ def _ask(count: int):
     def run(batches):
         edges = np.array([(i << 64) // count for i in range(1, count)], dtype=_U)
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for chunk, h, s, c in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 h, s, c = np.frombuffer(h, _U), np.frombuffer(s, np.uint8), np.frombuffer(c, "<i8")
                 cut = np.concatenate(([0], np.searchsorted(h, edges), [len(h)]))
@@ -146,6 +148,7 @@ def _bigrams(frequent: np.ndarray):
 
     def run(batches):
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for h, s, tokens, n, learn in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 ids = _small_ids(np.frombuffer(h, _U), np.frombuffer(s, np.uint8), frequent)
                 flow = ids[np.frombuffer(tokens, "<i4")]
@@ -254,7 +257,7 @@ def assign(word: np.ndarray, code: np.ndarray, x: np.ndarray, cls: np.ndarray, n
     out, at = cls.copy(), np.flatnonzero(np.diff(word, prepend=-1))
     stop, i = np.append(at[1:], len(word)), 0
     while i < len(at):
-        j = max(i + 1, int(np.searchsorted(stop, at[i] + 65536, "right")))
+        j = max(i + 1, int(np.searchsorted(stop, at[i] + 16384, "right")))
         e = slice(at[i], stop[j - 1])
         w, r, c = word[at[i:j]], code[e], x[e]
         gain = few[np.minimum(c, 16) - 1, r]

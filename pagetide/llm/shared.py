@@ -61,6 +61,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Consecutive rows with the same key, as one table each; rows must come sorted by key."""
     held: list[pa.Table] = []
     for batch in batches:
+        pa.default_memory_pool().release_unused()  # or each worker keeps what its largest group took
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
