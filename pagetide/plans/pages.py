@@ -136,7 +136,7 @@ def equation_timeline(spark, sf_dir):
 
 
 def edited_items(spark, sf_dir):
-    x = sequence.reading_items(_read(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id % 5 = 0"))
+    x = sequence.reading_items(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     added = x.where("item_idx % 7 = 3").withColumn("replace", F.col("item_idx") % 2 == 0).withColumn("value", F.lit("equation")).withColumn("kind", F.lit("equation"))
     y = sequence.insert_items(x, added)
     return y.groupBy("doc_id").agg(F.count("*").alias("items"), F.sum(F.when(F.col("kind") == "equation", F.col("item_idx")).otherwise(0)).cast("long").alias("equation_places"))
@@ -186,7 +186,7 @@ def token_details(spark, sf_dir):
 
 def hyphen_joins(spark, sf_dir):
     """Each word and the next of a document as fragments of one, the first with a hyphen."""
-    x = sequence.reading_items(_read(spark, sf_dir, "documents").select("doc_id", "text").where("text rlike ' '"))
+    x = sequence.reading_items(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     x = x.select("doc_id", F.regexp_replace("value", "[^\\p{L}]", "").alias("a"), F.lead("value").over(W.partitionBy("doc_id").orderBy("item_idx")).alias("b")).where("b is not null").groupBy("a", "b").count()
     return x.select("a", "b", text.join_hyphenated(F.concat("a", F.lit("-")), F.col("b")).alias("joined"))
 
@@ -200,7 +200,7 @@ def translations(spark, sf_dir):
 def equation_images(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("equation_id"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("m"), "o_orderkey")).alias("manual_image"))
     images = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("equation_id")).agg(F.concat(F.lit("d"), F.max("l_partkey")).alias("image"), F.max("l_quantity").alias("ratio"))
-    return pages.equation_images(o.where("equation_id % 3 > 0 or equation_id % 2 = 0"), images).drop("manual_image")
+    return pages.equation_images(o, images).drop("manual_image")
 
 
 def playback_commands(spark, sf_dir):
@@ -282,7 +282,7 @@ SELECT * FROM o WHERE page_no IS NOT NULL""",
 h AS (SELECT item_id, doc_id, instr(t, k) AS p, t, k FROM d JOIN b ON length(k) >= 2 AND contains(t, k)) SELECT item_id, doc_id, CAST(p AS INTEGER) AS place FROM h WHERE NOT contains(substr(t, p + 1), k)""",
     "translations": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'en' WHEN o_orderkey % 5 = 0 THEN 'de' ELSE 'fr' END AS lang, o_orderkey % 3 AS k, o_custkey AS c FROM orders)
 SELECT o_orderkey, CASE k WHEN 0 THEN c || CASE WHEN lang = 'en' THEN ' of 9 {x}' ELSE ' sur 9' END WHEN 1 THEN 'Bonjour' ELSE 'none' END AS label FROM o""",
-    "equation_images": """WITH d AS (SELECT l_orderkey AS k, 'd' || max(l_partkey) AS image, max(l_quantity) AS ratio FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 > 0 OR o_orderkey % 2 = 0)
+    "equation_images": """WITH d AS (SELECT l_orderkey AS k, 'd' || max(l_partkey) AS image, max(l_quantity) AS ratio FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey AS k FROM orders)
 SELECT o.k AS equation_id, CASE WHEN o.k % 4 = 0 THEN 'm' || o.k ELSE image END AS image, CASE WHEN o.k % 4 = 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(ratio, CAST(1 AS DOUBLE)) END AS pixel_ratio FROM o LEFT JOIN d ON o.k = d.k""",
     "playback_commands": """WITH RECURSIVE e AS (SELECT user_id AS session_id, event_id AS seq, ['next', 'previous', 'play', 'toggle', 'pause', 'next', 'clear'][event_id % 7 + 1] AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 s AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, 0 AS i, false AS p FROM (SELECT DISTINCT session_id FROM e)

@@ -237,7 +237,7 @@ ORACLE["equation_timeline"] = f"""WITH {_ITEMS}, {_EQ}, nx AS (SELECT doc_id, it
 cut AS (SELECT doc_id, item_idx, e, CASE WHEN q THEN regexp_replace(whole, '[.!?,;:…”’\\x22\\x27»)\\]]+$', '') ELSE whole END AS value, whole_end AND NOT q AS paragraph_end FROM nx),
 d AS (SELECT doc_id, item_idx, e, CASE WHEN e THEN CAST(1200 AS DOUBLE) ELSE {_delay('normal', 'paragraph_end')} END AS ms FROM cut), t AS (SELECT *, coalesce(sum(ms) OVER (PARTITION BY doc_id ORDER BY item_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CAST(0 AS DOUBLE)) AS pos FROM d)
 SELECT doc_id, max(pos) AS last_start_ms, sum(ms) AS total_ms, count(*) FILTER (e) AS equations, count(*) FILTER (e AND item_idx % 2 = 0) AS unresolved FROM t GROUP BY 1"""
-ORACLE["edited_items"] = f"""WITH {_ITEMS}, i AS (SELECT * FROM items WHERE doc_id % 5 = 0), u AS (SELECT doc_id, item_idx, 1 AS o, false AS eq FROM i WHERE NOT (item_idx % 7 = 3 AND item_idx % 2 = 0) UNION ALL SELECT doc_id, item_idx, 0, true FROM i WHERE item_idx % 7 = 3),
+ORACLE["edited_items"] = f"""WITH {_ITEMS}, u AS (SELECT doc_id, item_idx, 1 AS o, false AS eq FROM items WHERE NOT (item_idx % 7 = 3 AND item_idx % 2 = 0) UNION ALL SELECT doc_id, item_idx, 0, true FROM items WHERE item_idx % 7 = 3),
 n AS (SELECT doc_id, eq, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx, o) - 1 AS k FROM u) SELECT doc_id, count(*) AS items, CAST(sum(CASE WHEN eq THEN k ELSE 0 END) AS BIGINT) AS equation_places FROM n GROUP BY 1"""
 _KEEP = ", ".join(f"'{w}'" for w in text.COMPOUND)
 ORACLE["hyphen_joins"] = f"""WITH {_ITEMS}, p AS (SELECT DISTINCT regexp_replace(value, '[^\\p{{L}}]', '', 'g') AS a, lead(value) OVER (PARTITION BY doc_id ORDER BY item_idx) AS b FROM items)
