@@ -27,6 +27,7 @@ every token unseen; each row is scored. A token's identity is its 64-bit hash.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -41,6 +42,7 @@ _U = np.uint64
 END = _U(0xFFFFFFFFFFFFFFFF)  # the hash of the end token
 TAIL = 16
 _CHUNK = 4 << 20
+_ENTRIES = 1 << 19  # neighbour counts that a pass holds unpacked at once
 _ROWS = "chunk long, docs long, hashes binary, shape binary, counts binary, tokens binary, n_tokens binary, train binary, train_tokens long, keys binary"
 
 
@@ -185,12 +187,18 @@ def _packed(word: np.ndarray, code: np.ndarray, c: np.ndarray, words: int, width
     return keys, np.minimum(c, 255).astype("<u1").tobytes() + c[c >= 255].astype("<i8").tobytes()
 
 
-def _unpacked(keys: bytes, counts: bytes, words: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.frombuffer(keys, "<u2", words)
-    code = np.frombuffer(keys, "<u1" if width <= 256 else "<u2", offset=2 * words).astype(np.int64)
-    c = np.frombuffer(counts, "<u1", len(code)).astype(np.int64)
-    c[c == 255] = np.frombuffer(counts[len(code) :], "<i8")
-    return np.repeat(np.arange(words), n), code, c
+def _unpacked(keys: bytes, counts: bytes, words: int, width: int, first: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of the words first..stop-1, words numbered from first; nothing is made of the others but two sums."""
+    stop = words if stop is None else stop
+    kind, n = np.dtype("<u1" if width <= 256 else "<u2"), np.frombuffer(keys, "<u2", words)
+    a = int(n[:first].sum(dtype=np.int64))
+    size = int(n[first:stop].sum(dtype=np.int64))
+    code = np.frombuffer(keys, kind, size, 2 * words + a * kind.itemsize).astype(np.int64)
+    c = np.frombuffer(counts, "<u1", size, a).astype(np.int64)
+    long, total = np.flatnonzero(c == 255), (len(keys) - 2 * words) // kind.itemsize
+    if len(long):
+        c[long] = np.frombuffer(counts, "<i8", len(long), total + 8 * int(np.count_nonzero(np.frombuffer(counts, "<u1", a) == 255)))
+    return np.repeat(np.arange(stop - first), n[first:stop]), code, c
 
 
 def _contexts(frequent: np.ndarray, of: np.ndarray, k: int, count: int, only_table: bool):
@@ -292,11 +300,22 @@ def _assigned(n: np.ndarray):
             cls[back] = np.concatenate([np.frombuffer(x, "<i2") for x in col["classes"]])
             shape[back] = np.concatenate([np.frombuffer(x, np.uint8) for x in col["shape"]])
             first = np.cumsum([0, *(len(x) for x in blobs)])
-            found = [_unpacked(x, c, len(b), width) for x, c, b in zip(col["keys"], col["counts"], blobs)]
-            keys, where = np.unique(np.concatenate([back[w + i] * width + code for (w, code, _), i in zip(found, first)]), return_inverse=True)
-            x = np.bincount(where, np.concatenate([c for _, _, c in found]), len(keys)).astype(np.int64)
-            del found, where
-            cls, count = assign(keys // width, keys % width, x, cls, n)
+            entries = sum(map(len, col["keys"])) // (1 if width <= 256 else 2)
+            parts = min(len(h), entries // _ENTRIES + 1)
+            edges = h[[len(h) * i // parts for i in range(1, parts)]]
+            cuts = [np.concatenate(([0], np.searchsorted(x, edges), [len(x)])) for x in blobs]
+            count = np.zeros(len(h), np.int64)
+            # words stand alone here, so a slice of the deal's hashes at a time is the same and holds less
+            for s, (a, b) in enumerate(itertools.pairwise([0, *(len(h) * i // parts for i in range(1, parts)), len(h)])):
+                keys, x = [], []
+                for k_, c_, blob, i, cut in zip(col["keys"], col["counts"], blobs, first, cuts):
+                    w, code, c = _unpacked(k_, c_, len(blob), width, cut[s], cut[s + 1])
+                    keys.append((back[w + i + cut[s]] - a) * width + code)
+                    x.append(c)
+                keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+                x = np.bincount(where, np.concatenate(x), len(keys)).astype(np.int64)
+                del where
+                cls[a:b], count[a:b] = assign(keys // width, keys % width, x, cls[a:b], n)
             for chunk, at in zip(col["chunk"], np.split(back, first[1:-1])):
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([chunk, col["p"][0], cls[at].astype("<i2").tobytes(), b"", b""], kinds)], names)
             once = np.bincount((shape[count == 1] & (TAIL - 1)).astype(np.int64) * k + cls[count == 1], minlength=TAIL * k)

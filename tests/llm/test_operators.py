@@ -4,9 +4,11 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,6 +279,38 @@ def test_brown_classes_of_rare_words(spark):
     assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in enumerate(want))
 
 
+def test_brown_assignment_in_slices():
+    """A deal of many neighbour counts takes bounded memory, and gives what one piece gives."""
+    rng, k = np.random.default_rng(5), 65
+    width, n = 2 * (k + 1), rng.integers(1, 10**6, (k, k))
+    pool, rows, every = np.unique(rng.integers(0, 1 << 64, 40_000, dtype=np.uint64)), [], collections.Counter()
+    home = rng.integers(1, k, len(pool))
+    for chunk in range(12):
+        at = np.sort(rng.choice(len(pool), 20_000, replace=False))
+        pair = np.unique(rng.integers(0, len(at) * width, 250_000))
+        pair = pair[pair % width <= 2 * k]
+        c = np.where(rng.random(len(pair)) < 0.01, rng.integers(255, 10**5, len(pair)), rng.integers(1, 9, len(pair)))
+        rows.append([3, chunk, pool[at].tobytes(), bytes(len(at)), home[at].astype("<i2").tobytes(), *op5_brown._packed(pair // width, pair % width, c, len(at), width)])
+        for w, x in zip((at[pair // width] * width + pair % width).tolist(), c.tolist()):
+            every[w] += x
+        w, code, x = op5_brown._unpacked(*rows[-1][5:], len(at), width, 77, 19_000)
+        some = (pair >= 77 * width) & (pair < 19_000 * width)
+        assert (w * width + code + 77 * width == pair[some]).all() and (x == c[some]).all()
+    key = np.array(sorted(every))
+    want, _ = op5_brown.assign(key // width, key % width, np.array([every[x] for x in key.tolist()]), home, n)
+    names, seen = op5_brown._CONTEXT, {}
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int64(), *[pa.binary()] * 5])], names)
+    tracemalloc.start()
+    for out in op5_brown._assigned(n)(iter([batch])):
+        chunk, classes = out.column("chunk")[0].as_py(), out.column("classes")[0].as_py()
+        if chunk >= 0:
+            seen.update(zip(np.frombuffer(rows[chunk][2], np.uint64).tolist(), np.frombuffer(classes, "<i2").tolist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(seen) > 39_000 and all(seen.get(h, x) == x for h, x in zip(pool.tolist(), want.tolist()))
+    assert peak < 120e6
+
+
 def luhn(s):
     q = [int(c) for c in s if c.isdigit()][::-1]
     return 13 <= len(q) <= 19 and sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(q)) % 10 == 0
