@@ -15,8 +15,9 @@ third of all rows repeat gives one entry a batch). Signatures travel as packed a
 beside their fine partition; a clash only adds a candidate. Of the sets with one signature the
 smallest id is the lead, tied to each of the others. All pairs that share a signature lie within
 some lead's neighbourhood (the lead and all tied to it), so comparing inside neighbourhoods misses
-nothing, and their sizes add up to the ties, which are linear in the signatures. A small neighbourhood is
-compared in one task on the real shingle strings, with the size bound and a parity sketch (a lower bound of the difference) before it
+nothing, and their sizes add up to the ties, which are linear in the signatures. Each set has a parity sketch of its hashes, whose
+distance is a lower bound of the difference: a neighbourhood first meets as sizes and sketches, and only those that may link with another there send their texts.
+A small neighbourhood is compared in one task on the real shingle strings, with the same bounds before it
 and a union-find that skips pairs already connected; a middling one in tasks of its own for each pair of blocks. Of a large one, the lead is compared with all first, in blocks; only those
 that are not connected with it by then (by any neighbourhood) are compared with the others, block by block, so a large group of copies of one text costs its size.
 
@@ -172,18 +173,25 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """512 bits: whether an odd number of the set's members falls on each. Two sets differ in as many members at least as their bits differ."""
+    bits = np.bincount((bw.mix(s.astype(_U)) & _U(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(_U)
+
+
 def _summaries(words: int):
     def run(batches):
         of = shingle_rows(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                n, d = [], []
+                n, d, sketch = [], [], []
                 for s in of(part.column(1)):
                     n.append(len(s))
                     d.append(_digest(s))
+                    sketch.append(parities(s).tobytes())
                 d = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     return run
 
@@ -265,18 +273,70 @@ def _reduce(batches):
 
 
 def exact_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """Sorted ids of each text's distinct shingles; ids are dealt by the strings themselves."""
-    ids: dict[tuple[str, ...], int] = {}
+    """Sorted ids of each text's distinct shingles; words have ids by the strings themselves, and shingles by their words' ids."""
+    known: dict[str, int] = {}
+    short: dict[tuple[str, ...], int] = {}
     lower = {c: c + 32 for c in range(65, 91)}
-    out = []
+    out: list[np.ndarray] = []
+    flows, at = [np.empty(0, np.int64)], []
     for t in texts:
         w = (t or "").translate(lower)
         w = [x for x in w.replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if x]
-        grams = set(zip(*(w[i:] for i in range(words)))) if len(w) >= words else ({tuple(w)} if w else set())
-        out.append(np.sort(np.fromiter((ids.setdefault(g, len(ids)) for g in grams), np.int64, len(grams))))
+        if len(w) >= words:
+            at.append(len(out))
+            flows.append(np.fromiter((known.setdefault(x, len(known)) for x in w), np.int64, len(w)))
+        out.append(np.array([short.setdefault(tuple(w), -1 - len(short))] if 0 < len(w) < words else [], np.int64))
+    flow = np.concatenate(flows)
+    grams = flow
+    for i in range(1, words):  # ids of i words and the next one's, numbered anew
+        grams = np.unique(grams[:-1] * len(known) + flow[i:], return_inverse=True)[1]
+    first = 0
+    for i, w in zip(at, flows[1:]):
+        out[i] = np.unique(grams[first : first + len(w) - words + 1])
+        first += len(w)
+    return out
+
+
+def near(n: np.ndarray, sketch: np.ndarray, node: np.ndarray, left: np.ndarray | None, num: int, den: int) -> np.ndarray:
+    """Which sets may link with another one of these, by sizes n and sketches. left: if given, only with one of the other side."""
+    order = np.argsort(n, kind="stable")
+    sizes, sk, node, hit = n[order], sketch[order], node[order], np.zeros(len(n), bool)
+    left = None if left is None else left[order]
+    for x in range(len(n) - 1):
+        top = int(np.searchsorted(sizes, sizes[x] * den // num, "right"))
+        if top <= x + 1:
+            continue
+        both = sizes[x] + sizes[x + 1 : top]
+        may = (np.bitwise_count(sk[x + 1 : top] ^ sk[x]).sum(axis=1) <= both - 2 * -(-num * both // (num + den))) & (node[x + 1 : top] != node[x])
+        if left is not None:
+            may &= left[x + 1 : top] != left[x]
+        if may.any():
+            hit[x] = True
+            hit[x + 1 : top] |= may
+    out = np.zeros(len(n), bool)
+    out[order] = hit
     return out
 
 
+def _near(num: int, den: int):
+    """Of rows (key, comp, side, node, n, sketch) those that may link with another of their key and comp."""
+
+    def run(batches):
+        for table in grouped(batches, "key"):
+            table = table.combine_chunks()
+            comps, sides, nodes, n = (table.column(c).to_numpy() for c in ("comp", "side", "node", "n"))
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), _U).reshape(-1, 8)
+            order, kept = np.argsort(comps, kind="stable"), []
+            for part in np.split(order, np.flatnonzero(np.diff(comps[order])) + 1):
+                left = None if (sides[part] == 2).all() else sides[part] == 0
+                part = part[near(n[part], sketch[part], nodes[part], left, num, den)]
+                kept.append(part[np.unique(nodes[part], return_index=True)[1]])  # an id with several texts sends them all, once
+            for batch in table.select(["key", "comp", "side", "node"]).take(pa.array(np.concatenate(kept))).to_batches():
+                yield batch
+
+    return run
+
+
 def links(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links enough to connect what the threshold connects. left: if given, only pairs between True and False."""
     n = len(sets)
@@ -289,10 +349,7 @@ def links(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, left: n
             root[x] = x = root[root[x]]
         return x
 
-    sketch = np.zeros((n, 8), _U)
-    for i, s in enumerate(sets):
-        bits = np.bincount((bw.mix(s.astype(_U)) & _U(511)).astype(np.int64), minlength=512) & 1
-        sketch[i] = np.packbits(bits.astype(np.uint8)).view(_U)
+    sketch = np.array([parities(s) for s in sets], _U).reshape(n, 8)
     found = []
     sizes, sk = size[order], sketch[order]
     for x in range(n):
@@ -367,7 +424,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # two passes over the text cost less than keeping or moving the signatures of the first
-    rows = cut(texts.mapInArrow(_summaries(words), "doc_id long, n_shingles long, d1 long, d2 long"))
+    rows = cut(texts.mapInArrow(_summaries(words), "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"))
     full = rows.where("doc_id is not null and n_shingles > 0")
     classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
     rep_of = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep", "n"))
@@ -398,7 +455,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     star = big.where("node <> lead").select("node", "lead", F.lit(1).alias("side"), block("node", "blocks").alias("b")).union(big.where("node = lead").select("node", "lead", F.lit(0), each("blocks")))
     star = star.select("node", F.col("lead").alias("comp"), "side", F.xxhash64("lead", "b").alias("key"))
 
+    sketches = full.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+
     def compared(dealt: DataFrame) -> DataFrame:
+        met = dealt.join(sketches, "node").select("key", "comp", "side", "node", "n", "sketch").repartition(count, "key").sortWithinPartitions("key")
+        dealt = met.mapInArrow(_near(num, den), "key long, comp long, side int, node long")
         whole = dealt.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").repartition(count, "key").sortWithinPartitions("key")
         return whole.mapInArrow(_verify(words, num, den), "a long, b long")
 

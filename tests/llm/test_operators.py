@@ -131,6 +131,51 @@ def test_jaccard_large_neighbourhoods(spark):
     assert {r.component_id for r in op4_jaccard.jaccard_components(two).collect()} == {1}
 
 
+def test_jaccard_sends_texts_that_may_link(spark, monkeypatch):
+    """Texts that share two fifths of their words share signatures, but only those that may link are sent; links are those of all pairs."""
+    rng = np.random.default_rng(11)
+    page = [f"p{i}" for i in range(160)]
+    texts = [" ".join([f"x{i}x{j}" for j in range(240)] + page) for i in range(120)]
+    texts += [texts[i].replace(f"x{i}x{rng.integers(240)} ", "other ") for i in range(10)] + ["one two", "ONE two", "one", None]
+    sent, inner = spark.sparkContext.accumulator(0), op4_jaccard._verify
+
+    def counted(*args):
+        run = inner(*args)
+
+        def counting(batches):
+            def seen():
+                for b in batches:
+                    sent.add(b.num_rows)
+                    yield b
+
+            yield from run(seen())
+
+        return counting
+
+    monkeypatch.setattr(op4_jaccard, "_verify", counted)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in op4_jaccard.jaccard_components(d, words=5, num=80, den=100).collect()}
+    assert got == {i: i - 120 if 120 <= i < 130 else 130 if i == 131 else i for i in range(len(texts))}
+    assert 0 < sent.value <= 130
+
+
+def test_exact_sets():
+    """Shingles of a group of texts by their strings, against tuples; a hundred thousand of them take little memory."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["a", "B", "b", "cc", "é"], rng.integers(0, 12))) for _ in range(60)] + [None, " \t", "a\vb"]
+    for k in (1, 2, 3, 5):
+        sets = [set(zip(*(w[i:] for i in range(k)))) if len(w) >= k else {tuple(w)} if w else set() for w in map(words, texts)]
+        got = op4_jaccard.exact_sets(texts, k)
+        assert [len(x) for x in got] == [len(x) for x in sets] and all((np.diff(x) > 0).all() for x in got)
+        assert all(len(np.intersect1d(got[i], got[j])) == len(a & b) for i, a in enumerate(sets) for j, b in enumerate(sets))
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 1000)) for _ in range(100)]
+    tracemalloc.start()
+    op4_jaccard.exact_sets(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15e6
+
+
 def test_jaccard_signatures_meet():
     """Linked random sets of every small size share a signature, unless one is said to lack weight."""
     rng, met = np.random.default_rng(12), 0
