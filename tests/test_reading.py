@@ -158,3 +158,21 @@ def test_layout(spark):
 def test_urls(spark):
     assert one(spark, text.resolve_pdf_url(F.lit("extension://x/viewer.html?file=file%3A%2F%2F%2FC%3A%2FDocuments%2Fphysics.pdf"))) == ["file:///C:/Documents/physics.pdf"]
     assert one(spark, text.page_hint(F.lit("https://a/b.pdf#page=12")), text.document_name(F.lit("https://a/b/c%20d.pdf?x"))) == [12, "c d.pdf"]
+
+
+def test_chunks_of_many_rows_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    words = [f"word{i}" for i in range(300)]
+    n = 1000
+    values, kinds = pa.array([words] * n + [None]), pa.array([["word"] * 300] * n + [None])
+    ends = pa.array([[i == 299 for i in range(300)]] * n + [None])
+    want = tokenize._all_chunks(words, ["word"] * 300, [i == 299 for i in range(300)], 1000)
+    tracemalloc.start()
+    got = tokenize.chunk_arrays(values, kinds, ends, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and len(got) == n + 1 and got[n].as_py() == []
+    assert [(c["text"], c["start_idx"], c["end_idx"], [tuple(e.values()) for e in c["entries"]]) for c in got[n - 1].as_py()] == [(c["text"], c["start_idx"], c["end_idx"], c["entries"]) for c in want]
