@@ -124,7 +124,8 @@ def _with_equations(spark, sf_dir):
 
 def equation_context(spark, sf_dir):
     """Items of which every eleventh is an equation: counts, side and sentence context, what follows, and the timeline."""
-    x = sequence.with_next_equation(sequence.with_context(sequence.sentence_context(sequence.with_sentences(_with_equations(spark, sf_dir))), 2))
+    # a sentence goes with each of its items, so nothing may sort or buffer rows after it
+    x = sequence.sentence_context(sequence.with_sentences(sequence.with_next_equation(sequence.with_context(_with_equations(spark, sf_dir), 2))))
     chars = lambda c: F.sum(F.length(F.array_join(c, " "))).cast("long")
     return x.groupBy("doc_id").agg(F.count_if(F.col("kind") == "equation").alias("equations"), chars("before").alias("before_chars"), chars("after").alias("after_chars"), F.sum(F.size("sentence")).cast("long").alias("sentence_words"), F.count_if("equation_next").alias("before_equations"))
 

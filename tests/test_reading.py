@@ -176,3 +176,11 @@ def test_chunks_of_many_rows_take_little_memory():
     tracemalloc.stop()
     assert peak < 20e6 and len(got) == n + 1 and got[n].as_py() == []
     assert [(c["text"], c["start_idx"], c["end_idx"], [tuple(e.values()) for e in c["entries"]]) for c in got[n - 1].as_py()] == [(c["text"], c["start_idx"], c["end_idx"], c["entries"]) for c in want]
+
+
+def test_nothing_buffers_rows_that_carry_their_sentence(spark):
+    from pagetide.plans import pages
+
+    plan = pages.equation_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert "AS sentence#" in windows[0] or "collect_list" in windows[0] and "sentence_id" in windows[0], windows
