@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagetide.llm import op3_mix, op4_jaccard, op6_pii, op8_bpe, op9_quality
 from pagetide.llm.queries import tokenizer_path
-from pagetide.llm.shared import documents, remove, scratch
+from pagetide.llm.shared import cut, documents, remove, scratch, without
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document (the smallest id) of each group linked by five-word shingles at 0.8 or more."""
     found = op4_jaccard.jaccard_components(docs.select("doc_id", "text"), words=5, num=80, den=100)
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = cut(found.where("component_id <> doc_id").select("doc_id").distinct())
+    return without(docs, drop, "doc_id")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ beside their fine partition; a clash only adds a candidate. Of the sets with one
 smallest id is the lead, tied to each of the others. All pairs that share a signature lie within
 some lead's neighbourhood (the lead and all tied to it), so comparing inside neighbourhoods misses
 nothing, and their sizes add up to the ties, which are linear in the signatures. Each set has a parity sketch of its hashes, whose
-distance is a lower bound of the difference: a neighbourhood first meets as sizes and sketches, and only those that may link with another there send their texts.
+distance is a lower bound of the difference: a neighbourhood first meets as sizes and sketches, and only those that may link with another there send their texts, and a bitmap of their ids keeps the others' from being moved at all.
 A small neighbourhood is compared in one task on the real shingle strings, with the same bounds before it
 and a union-find that skips pairs already connected; a middling one in tasks of its own for each pair of blocks. Of a large one, the lead is compared with all first, in blocks; only those
 that are not connected with it by then (by any neighbourhood) are compared with the others, block by block, so a large group of copies of one text costs its size.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from pagetide.llm import bytewords as bw
 from pagetide.llm.components import components
-from pagetide.llm.shared import cut, grouped, partitions, small_batches
+from pagetide.llm.shared import cut, grouped, holding, partitions, small_batches
 
 _U = np.uint64
 
@@ -459,8 +459,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     def compared(dealt: DataFrame) -> DataFrame:
         met = dealt.join(sketches, "node").select("key", "comp", "side", "node", "n", "sketch").repartition(count, "key").sortWithinPartitions("key")
-        dealt = met.mapInArrow(_near(num, den), "key long, comp long, side int, node long")
-        whole = dealt.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").repartition(count, "key").sortWithinPartitions("key")
+        dealt = cut(met.mapInArrow(_near(num, den), "key long, comp long, side int, node long"))
+        own = holding(texts.select(F.col("doc_id").alias("node"), "text"), dealt.select("node").distinct(), "node")
+        whole = dealt.join(own, "node").repartition(count, "key").sortWithinPartitions("key")
         return whole.mapInArrow(_verify(words, num, den), "a long, b long")
 
     found = cut(compared(small.union(star)))

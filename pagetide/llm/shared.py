@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,5 +80,29 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
+_PAGE = 1 << 15  # bits in a row of bitmap_construct_agg
+
+
+def _sieve(keys: DataFrame, key: str, most_bits: int) -> tuple[DataFrame, Column]:
+    """A bitmap of the keys' hashes, in pages, and the condition under which a row's key may be one of them."""
+    bits = min(most_bits, max(_PAGE, 16 * keys.count()))
+    at = F.pmod(F.xxhash64(F.col(key).cast(keys.schema[key].dataType)), F.lit(bits))  # one type, or equal keys have other hashes
+    pages = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / _PAGE).alias("__page")).agg(F.bitmap_construct_agg(F.col("at") % _PAGE).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at % _PAGE / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.broadcast(pages), (F.floor(at / _PAGE) == F.col("__page")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+
+
+def holding(df: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 << 26) -> DataFrame:
+    """df's rows whose key may be one of keys: all that are, and few others (more of them where keys outgrow 16 bits each of most_bits),
+    so that an exact join need not move the rest. keys must be cheap to compute again."""
+    return df.join(*_sieve(keys, key, most_bits), "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str, most_bits: int = 1 << 26) -> DataFrame:
+    """df's rows whose key is none of keys. Only those that a bitmap does not tell apart are joined by shuffle."""
+    pages, may = _sieve(keys, key, most_bits)
+    return df.join(pages, may, "left_anti").union(df.join(pages, may, "left_semi").join(keys, key, "left_anti").select(*df.columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagetide.llm import op1_knn, op2_orc, op3_mix, op4_jaccard, op5_brown, op6_pii, op7_urls, op8_bpe, op9_quality, op10_langid, queries
-from pagetide.llm.shared import documents, scratch
+from pagetide.llm.shared import cut, documents, holding, scratch, without
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -159,6 +159,32 @@ def test_jaccard_sends_texts_that_may_link(spark, monkeypatch):
     assert 0 < sent.value <= 130
 
 
+def test_bitmap_of_keys(spark):
+    d = spark.createDataFrame([(i, str(i)) for i in range(-300, 300)] + [(None, "none"), (7, "again")], "doc_id int, text string")
+    for keys in ([], [5, 7, 299, 10**12], list(range(-300, 300, 2))):
+        k = cut(spark.createDataFrame([(x,) for x in keys], "doc_id long"))
+        for bits in (1, 50, 1 << 26):
+            kept = {r.text for r in holding(d, k, "doc_id", bits).collect()}
+            assert kept >= {str(x) for x in keys if x < 300} and (bits < 1 << 26 or len(kept) <= len(keys) + 150)
+            got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in without(d, k, "doc_id", bits).collect())
+            assert got == sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in d.collect() if r.doc_id not in keys)
+
+
+def test_jaccard_join_leaves_texts_where_they_lie(spark):
+    """Texts linked with none are not moved, neither to be compared nor to drop the linked ones."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(1 << 62, size=1500)) for _ in range(150)]
+    texts += [texts[3] + " more", texts[4]]
+    d = cut(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"))
+    moved = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False))[0].totalShuffleWrite()
+    before = moved()
+    left = {r.doc_id for r in cp.jaccard_join(spark, d, SF).collect()}
+    assert left == set(range(150))
+    assert moved() - before < sum(map(len, texts)) / 2
+
+
 def test_exact_sets():
     """Shingles of a group of texts by their strings, against tuples; a hundred thousand of them take little memory."""
     rng = np.random.default_rng(12)
