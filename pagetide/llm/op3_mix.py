@@ -3,18 +3,21 @@
 Sources share the total by weight; a source's target stops at `most` times its size, and what is left
 over is shared by the others, which is a water level found from sorted cap/weight ratios.
 The mix is a run of slots of `block` words (by default the total over 2**18, from 16 to 1024). Slot n has the point (n * golden ratio) mod 1, in integer
-arithmetic; the point falls in one source's stretch of the cumulative targets. A source's slots are
-ranked and take its words one after another, documents in shuffled order (by md5 of the id), round after round, across the
-end of a round too, until they have its target, rounded to a word; what they miss of it is one more slot at the end of the mix.
-So every source, however small against a slot, gives its target, and its documents are taken equally often up to one.
-
-Nothing large is ordered in one task: ranks are offsets of ranges of slots plus ranks within the
+arithmetic; the point falls in one source's stretch of the cumulative targets, and its place in that stretch names one cell: `block` words of the
+source's documents, laid end to end in shuffled order (by md5 of the id). Points are spread evenly, so slots visit every source, and every
+cell of it, nearly as often as its target asks. That number of visits is rounded: each cell goes in as often as the target holds the whole source, and once
+more if the schedule visits it most, of equals those visited first, until the source has its target, rounded to a word; the last such cell
+gives a part. So the schedule decides which documents go in once more and when a document first comes, while
+every source, however small against a slot, gives its target, and its documents are taken equally often up to one.
+
+Nothing large is ordered in one task: the order of cells is made of offsets of ranges plus sums within the
 range, word offsets are offsets of hash buckets plus sums within the bucket, and both ranges and
 buckets grow in number with the input, whatever source holds how much of it. Only ids and sizes move, never texts.
 
 Defined results: null text or blank text has size 0 and takes no part; a null source is one source, last; rows with one id are
 separate rows; no words at all give targets of 0. `taken` counts words, in parts of a document
-too; it never exceeds `most` times its size.
+too; it never exceeds `most` times its size. `slot` is the first slot that brings words of the document, null if none does (then
+what it gives, if anything, comes at the mix's end).
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ BINS = 1 << 12
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """(source, source_size, target, lo, hi) from (source, size); one row a source, so its windows are over few rows."""
+    """(source, nth, source_size, target, lo, hi) from (source, size); one row a source, so its windows are over few rows."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
     s = s.withColumn("nth", F.row_number().over(order) - 1)
@@ -47,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
     s = s.withColumn("target", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("water"))))
     upto = F.coalesce(F.sum("target").over(order) / F.nullif(F.sum("target").over(everything), F.lit(0.0)), F.lit(0.0))
     s = s.withColumn("hi", F.floor(TURN * upto + 0.5))
-    return s.select("source", "source_size", "target", F.coalesce(F.lag("hi").over(order), F.lit(0)).alias("lo"), "hi")
+    return s.select("source", "nth", "source_size", "target", F.coalesce(F.lag("hi").over(order), F.lit(0)).alias("lo"), "hi")
 
 
 def _few(df: DataFrame, most: int = 20_000) -> DataFrame:
@@ -55,26 +58,34 @@ def _few(df: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def schedule(plan: DataFrame, total: int, block: int) -> DataFrame:
-    """(slot, source, rank, words) from targets(); the slots that bring sources to their targets at the end have no number and no rank."""
-    goal = F.floor(F.col("target") + 0.5)
+    """(slot, nth, cell) from targets(): each slot's source, by its number, and the cell of it that the slot brings."""
     # each point meets the sources whose stretch touches its bin
     slots = plan.sparkSession.range(0, -(-total // block)).withColumn("u", F.pmod(F.pmod(F.col("id"), F.lit(TURN)) * GOLDEN, F.lit(TURN)))
     slots = slots.withColumn("bin", F.floor(F.col("u") / (TURN // BINS)))
     spread = plan.where("hi > lo").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / (TURN // BINS)), F.floor((F.col("hi") - 1) / (TURN // BINS)))))
-    slots = slots.join(_few(spread), "bin").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "source", goal.alias("goal"), F.floor(F.col("id") / 4096).alias("range"))
-    per = slots.groupBy("source", "range").count()
-    per = per.select(F.col("source").alias("s_"), F.col("range").alias("r_"), "count", (F.sum("count").over(W.partitionBy("source").orderBy("range")) - F.col("count")).alias("base"))
-    slots = slots.join(per, F.col("source").eqNullSafe(F.col("s_")) & (F.col("range") == F.col("r_")))
-    slots = slots.withColumn("rank", F.col("base") + F.row_number().over(W.partitionBy("source", "range").orderBy("slot")) - 1)
-    slots = slots.where(F.col("rank") * block < F.col("goal")).select("slot", "source", "rank", F.least(F.lit(block), F.col("goal") - F.col("rank") * block).alias("words"))
-    given = per.groupBy("s_").agg((F.sum("count") * block).alias("given"))
-    rest = plan.join(given, F.col("source").eqNullSafe(F.col("s_")), "left").withColumn("words", goal - F.coalesce("given", F.lit(0)))
-    none = F.lit(None).cast("long")
-    return slots.unionByName(rest.where("words > 0").select(none.alias("slot"), "source", none.alias("rank"), "words"))
+    spread = spread.withColumn("cells", F.expr(f"(source_size + {block - 1}) div {block}"))
+    slots = slots.join(_few(spread), "bin").where("u >= lo and u < hi")
+    return slots.select(F.col("id").alias("slot"), "nth", F.expr("(u - lo) * cells div (hi - lo)").alias("cell"))
+
+
+def once_more(cells: DataFrame, visits: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    """(nth, cell, extra, slot) of each row of cells(nth, cell): the words a cell gives beyond whole rounds of its source, and its first slot."""
+    met = visits.groupBy("nth", "cell").agg(F.count("*").alias("times"), F.min("slot").alias("slot"))
+    x = cells.join(met, ["nth", "cell"], "left").join(_few(plan.select("nth", "source_size", "rest")), "nth")
+    x = x.withColumn("times", F.coalesce("times", F.lit(0))).withColumn("words", F.least(F.lit(block), F.expr(f"source_size - cell * {block}")))
+    # by visits, then by the first slot; cells without a slot in a spread order. Ranges hold a few thousand cells
+    stray = F.pmod(F.pmod(F.col("cell"), F.lit(TURN)) * GOLDEN, F.lit(TURN))
+    x = x.withColumn("turn", F.coalesce("slot", stray)).withColumn("range", F.when(F.col("slot").isNotNull(), F.expr("slot div 4096")).otherwise(F.expr(f"turn * (source_size div {4096 * block} + 1) div {TURN}")))
+    x = cut(x)
+    upto = W.partitionBy("nth").orderBy(F.col("times").desc(), "range").rowsBetween(W.unboundedPreceding, 0)
+    base = x.groupBy("nth", "times", "range").agg(F.sum("words").alias("sum")).withColumn("base", F.sum("sum").over(upto) - F.col("sum")).drop("sum")
+    within = W.partitionBy("nth", "times", "range").orderBy("turn", "cell").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("upto", F.sum("words").over(within)).join(base, ["nth", "times", "range"])
+    return x.select("nth", "cell", F.greatest(F.lit(0), F.least("words", F.expr("rest - base - upto + words"))).alias("extra"), "slot")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, block: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row, with its source."""
+    """(doc_id, size, source_size, target, taken, slot) of each row, with its source."""
     spark = docs.sparkSession
     key = F.col(id_col).cast("string")
     rows = docs.select(
@@ -83,7 +94,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         F.md5(F.coalesce(key, F.lit("")).cast("binary")).alias("k"),
     )
     rows = cut(rows)
-    plan = cut(targets(rows, weights, most))
+    plan = targets(rows, weights, most).withColumn("goal", F.floor(F.col("target") + 0.5))
+    plan = cut(plan.withColumn("whole", F.coalesce(F.expr("goal div nullif(source_size, 0)"), F.lit(0))).withColumn("rest", F.expr("goal - whole * source_size")))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = block or min(1024, max(16, total >> 18))
     # word offsets: hash buckets of a few thousand rows each
@@ -94,14 +106,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     within = W.partitionBy("source", "b").orderBy("k", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(within))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_")) & (F.col("b") == F.col("b_"))).withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
-    # words of each source over all its slots: whole rounds, and the first words of one more
-    given = schedule(plan, total, block).groupBy("source").agg(F.sum("words").alias("words"))
-    given = plan.withColumnRenamed("source", "p_").join(given, F.col("p_").eqNullSafe(F.col("source")), "left")
-    given = cut(given.select("p_", "source_size", "target", F.coalesce("words", F.lit(0)).alias("words")))
-    out = rows.join(_few(given), F.col("source").eqNullSafe(F.col("p_")))
-    again = F.least("size", F.greatest(F.lit(0), F.expr("words % source_size") - F.col("start")))
-    taken = F.when(F.col("size") > 0, F.expr("words div source_size") * F.col("size") + again).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = rows.join(_few(plan.withColumnRenamed("source", "p_")), F.col("source").eqNullSafe(F.col("p_")))
+    rows = cut(rows.select("doc_id", "source", "nth", "size", "start", "source_size", "target", "whole"))
+    # the cells each document lies in; a cell is its source's by the document that holds its first word
+    parts = rows.where("size > 0").select("nth", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("cell"))
+    cells = once_more(parts.where(f"cell * {block} >= start").select("nth", "cell"), schedule(plan, total, block), plan, block)
+    words_in = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), F.col("cell") * block + F.col("extra")) - F.greatest(F.col("start"), F.col("cell") * block))
+    more = parts.join(cells, ["nth", "cell"]).groupBy("nth", "start").agg(F.sum(words_in).alias("more"), F.min("slot").alias("slot"))
+    # words in whole rounds, and once more; a row without words shares its start with the next one
+    out = rows.where("size > 0").join(more, ["nth", "start"]).withColumn("taken", F.col("whole") * F.col("size") + F.col("more"))
+    none = rows.where("size = 0").withColumn("taken", F.lit(0)).withColumn("slot", F.lit(None).cast("long"))
+    names = ["doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "slot"]
+    return out.select(*names).union(none.select(*names))
 
 
 def copies() -> Column:

@@ -517,6 +517,37 @@ def test_mix_of_sources_smaller_than_a_slot(spark):
             assert max(times) - min(times) <= 10
 
 
+def test_mix_follows_its_schedule(spark, monkeypatch):
+    """What goes in once more, and when a document first comes, are those of the slots, redone word by word."""
+    count = {"a": 90, "b": 31, "c": 1, None: 12, "e": 4}
+    rows = [(f"{s}-{i}", "w " * (i * 7 % 45), s) for s, n in count.items() for i in range(1, n + 1)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    sizes = d.select("source", F.expr("(length(text) div 2)").alias("size"))
+    plan, block = op3_mix.targets(sizes).collect(), 16
+    total, seen = sum(p.source_size for p in plan), []
+    for golden in (op3_mix.GOLDEN, 1):
+        monkeypatch.setattr(op3_mix, "GOLDEN", golden)
+        visits = collections.defaultdict(list)
+        for n in range(-(-total // block)):
+            u = n * golden % op3_mix.TURN
+            for p in plan:
+                if p.lo <= u < p.hi:
+                    visits[p.source, (u - p.lo) * -(-p.source_size // block) // (p.hi - p.lo)].append(n)
+        want = {}
+        for p in plan:
+            line = [i for i, t, s in sorted(rows, key=lambda r: hashlib.md5(r[0].encode()).hexdigest()) if s == p.source for _ in range(len(t) // 2)]
+            whole, rest = divmod(math.floor(p.target + 0.5), p.source_size)
+            cells = [line[i : i + block] for i in range(0, len(line), block)]
+            order = sorted(range(len(cells)), key=lambda c: (-len(visits[p.source, c]), min(visits[p.source, c], default=c * golden % op3_mix.TURN), c))
+            extra = collections.Counter([x for c in order for x in cells[c]][:rest])
+            for i, n in collections.Counter(line).items():
+                want[i] = whole * n + extra[i], min((n for c, x in enumerate(cells) if i in x for n in visits[p.source, c]), default=None)
+        got = {r.doc_id: (r.taken, r.slot) for r in op3_mix.mix(d, block=block).collect()}
+        assert got == {i: want.get(i, (0, None)) for i, _, _ in rows}
+        seen.append({i: t for i, (t, _) in got.items()})
+    assert sum(seen[0].values()) == sum(seen[1].values()) and seen[0] != seen[1]
+
+
 def test_knn_odd_vectors(spark):
     rng = np.random.default_rng(2)
     v = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
